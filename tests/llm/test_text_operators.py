@@ -159,7 +159,7 @@ def test_quality_rules_reject_depleted_documents(spark):
     def prose(n):
         return " ".join(rng.choice(["sun", "moon", "star", "sea", "hill", "wood"]) + str(rng.randrange(10**6)) for _ in range(n))
 
-    common = "this line stands in very many pages of one host and says nothing about any of them at all " * 2
+    common = " ".join(f"notice{k}" for k in range(40))
     rows = [(i, prose(30) + "\n" + common, "a") for i in range(60)] + [(100, "  " + common.upper() + "\n" + common + "\nbye now", "a"), (101, common + "\nbye now", "b")]
     copied = "\n".join(prose(12) for _ in range(5))
     rows += [(200 + i, copied, "a") for i in range(80)]
