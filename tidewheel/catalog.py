@@ -620,4 +620,4 @@ def steady_state(spark, d):
     edges = e.crossJoin(F.broadcast(total)).select(F.col("src").alias("i"), F.col("dst").alias("j"), (F.col("w") / F.col("total")).alias("a"))  # one row
     left = edges.groupBy("i").agg(F.sum("a").alias("p"))
     right = edges.groupBy("j").agg(F.sum("a").alias("p"))
-    return steady.solve(left, right, edges).withColumn("score", F.round("score", 6))
+    return steady.solve(left, right, edges, rounds=5).withColumn("score", F.round("score", 6))
