@@ -59,7 +59,7 @@ def crowd(n, seed=1, words=60):
     return out
 
 
-@pytest.mark.parametrize(("few", "chunk"), [(16, 128), (2, 8)])
+@pytest.mark.parametrize(("few", "chunk"), [(16, 1024), (2, 8)])
 def test_crowds_lose_no_link(spark, monkeypatch, few, chunk):
     monkeypatch.setattr(near_dedup, "FEW", few)
     monkeypatch.setattr(near_dedup, "CHUNK", chunk)

@@ -7,8 +7,9 @@ alternating large-star and small-star give the groups.
 Documents with equal shingle sets are one class from the start, so groups of
 copies cost one row.  In a bucket every class meets the bucket's first class
 (linear in the bucket).  What these links leave in several components is then
-compared across components only: chunks of bounded size, signatures first.  No
-bucket is cut off, and no pairs within a component are formed.
+compared across components only: pairs in small buckets, signatures first, and
+groups of full sets of bounded size in large ones, of which only links come back
+that join components.  No bucket is cut off, and no pairs within a component are formed.
 
 Edge cases: null, empty or white-space texts have an empty set and are linked
 with nothing; a null ``doc_id`` is its own group (component null, kept); rows
@@ -31,7 +32,8 @@ from .components import connected_components
 
 WIDTH = 5
 BANDS, ROWS = 32, 4  #: at similarity 0.85 a pair misses every band with probability 6e-11
-CHUNK = 256  #: classes compared with one another at once
+CHUNK = 1024  #: classes of a large bucket whose sets are compared with as many others at once
+FEW = 16  #: a bucket with more classes is large
 SLACK = 0.17  #: a signature may tell this much less than the threshold: over five standard deviations
 
 
@@ -142,40 +144,121 @@ def _confirm(pairs: DataFrame, texts: DataFrame, threshold: int, width: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(buckets: DataFrame, shared: DataFrame, label: DataFrame, classes: DataFrame, threshold: int, slack: float, size: int) -> DataFrame:
-    """Pairs of alike signatures from one bucket and different components.
+BITS = 1 << 25
 
-    The members that share the component of a bucket's first class are one side,
-    the others are compared with that side and among themselves.
-    """
-    member = buckets.join(shared.select("bucket"), "bucket", "left_semi").join(label, "id")
-    split = member.groupBy("bucket").agg(F.min("component").alias("lead"), F.max("component").alias("other"), F.count("*").alias("n")).where("lead <> other")
-    member = member.join(split.select("bucket", "lead", "n"), "bucket")
-    member = member.withColumn("side", (F.col("component") == F.col("lead")).cast("int"))
-    member = member.withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).cast("int"))
-    member = member.join(classes.select("id", "signature"), "id")
-    chunks = member.groupBy("bucket", "side", "chunk").agg(F.collect_list("id").alias("ids"), F.collect_list("component").alias("components"), F.collect_list("signature").alias("signatures"))
-    enough = (threshold / 100 - slack) * size
+
+def _narrowed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose id is in ``wanted`` (id); most others go before the shuffle, by a bit table of fixed size."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    words = wanted.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits"))
+    near = rows.withColumn("bit", bit).withColumn("word", (F.col("bit") / 64).cast("int")).join(F.broadcast(words), "word")  # BITS / 64 rows at most
+    held = F.getbit("bits", (F.col("bit") % 64).cast("int")) == 1
+    return near.where(held).select(*rows.columns).join(wanted, "id", "left_semi")
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return _narrowed(docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")), wanted)
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, items) with the shingle sets as bytes."""
 
     def run(batches):
+        hashes = WordHashes()
         for batch in batches:
-            found = []
-            for ids, comps, sigs, ids2, comps2, sigs2 in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                left, right = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, size) for s in (sigs, sigs2))
-                comp, comp2, id1, id2 = (np.array(x, np.int64) for x in (comps, comps2, ids, ids2))
-                for i in range(len(left)):
-                    agree = (right == left[i]).sum(axis=1)
-                    for j in np.flatnonzero((agree >= enough) & (comp2 != comp[i])):
-                        found.append((min(id1[i], id2[j]), max(id1[i], id2[j])))
-            found = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    fields = ("ids", "components", "signatures")
-    others = chunks.where("side = 0")
-    left = others.select("bucket", *(F.col(x).alias(f"{x}_1") for x in fields), F.col("chunk").alias("chunk_1"))
-    right = chunks.select("bucket", *fields, "chunk", "side")
-    pairs = left.join(right, "bucket").where("side = 1 or chunk >= chunk_1")
-    return pairs.select(*(f"{x}_1" for x in fields), *fields).mapInArrow(run, "a long, b long").distinct()
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                items = [shingle_set(t, hashes, width).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], ["id", "items"])
+
+    return texts.mapInArrow(run, "id long, items binary")
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of two chunks, as products over the items that both chunks hold."""
+    flat = [np.concatenate(x) for x in (left, right)]
+    held = [np.unique(x) for x in flat]
+    common = np.intersect1d(*held, assume_unique=True)
+    total = np.zeros((len(left), len(right)), np.float32)
+    where = []
+    for sets, items in zip((left, right), flat, strict=True):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(common, items)
+        hit = at < len(common)
+        hit[hit] = common[at[hit]] == items[hit]
+        where.append((row[hit], at[hit]))
+    for k in range(0, len(common), step):
+        sides = []
+        for sets, (row, at) in zip((left, right), where, strict=True):
+            m = np.zeros((len(sets), min(step, len(common) - k)), np.float32)
+            here = (at >= k) & (at < k + step)
+            m[row[here], at[here] - k] = 1
+            sides.append(m)
+        total += sides[0] @ sides[1].T
+    return total.astype(np.int64)
+
+
+def _linked(threshold: int):
+    """Links (a, b) between components, as many as join what full sets show to be joined, of the documents of one cell."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def one(cell: pa.Table) -> pa.Table:
+        ids, comps, group, side = (np.array(cell.column(c).to_pylist(), np.int64) for c in ("id", "component", "group", "side"))
+        items = [np.frombuffer(x, np.uint64) for x in cell.column("items").to_pylist()]
+        a, b, with_lead = (cell.column(c)[0].as_py() for c in ("a", "b", "with_lead"))
+        everyone = np.arange(len(ids))
+        if with_lead:
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        else:
+            left, right = (everyone, everyone) if a == b else (np.flatnonzero(group == a), np.flatnonzero(group == b))
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        both = _shared([items[k] for k in left], [items[k] for k in right])
+        size = np.array([len(x) for x in items])
+        union = size[left][:, None] + size[right] - both
+        parent, found = {}, []
+
+        def root(x):
+            while (y := parent.get(x, x)) != x:
+                x = y
+            return x
+
+        for k, m in zip(*np.nonzero((100 * both >= threshold * union) & (comps[left][:, None] != comps[right])), strict=True):
+            k, m = left[k], right[m]
+            x, y = root(comps[k]), root(comps[m])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((min(ids[k], ids[m]), max(ids[k], ids[m])))
+        found = np.array(found, np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=schema)
+
+    return one
+
+
+def _across(members: DataFrame, sets_of, threshold: int) -> DataFrame:
+    """Links between components within large buckets, from ``members`` (bucket, id, n, component, lead).
+
+    Those that share the component of the bucket's first class are one side; the
+    others are compared with that side and among themselves.  Both are dealt into
+    groups of bounded size, and a cell is a pair of groups.
+    """
+    member = members.withColumn("side", (F.col("component") == F.col("lead")).cast("int"))
+    counts = member.groupBy("bucket").agg(F.sum(1 - F.col("side")).alias("others"))
+    member = member.join(counts, "bucket")
+    others, leads = (F.ceil(x / CHUNK).cast("int") for x in (F.col("others"), F.col("n") - F.col("others")))
+    group = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, others).otherwise(leads)).cast("int")
+
+    def cells(n, a, b, with_lead: int):
+        each = F.transform(F.sequence(F.lit(1), n), lambda h: F.struct(a(h - 1).alias("a"), b(h - 1).alias("b"), F.lit(with_lead).alias("with_lead")))
+        return F.when(n > 0, each).otherwise(F.slice(each, 1, 0))
+
+    g = F.col("group")
+    own = F.concat(cells(F.col("o"), lambda h: F.least(g, h), lambda h: F.greatest(g, h), 0), cells(F.col("l"), lambda h: g, lambda h: h, 1))
+    lead = cells(F.col("o"), lambda h: h, lambda h: g, 1)
+    dealt = member.select("bucket", "id", "component", "side", group.alias("group"), others.alias("o"), leads.alias("l"))
+    dealt = dealt.withColumn("cell", F.explode(F.when(F.col("side") == 0, own).otherwise(lead)))
+    dealt = dealt.select("bucket", "id", "component", "side", "group", "cell.*").join(sets_of(member.select("id").distinct()), "id")
+    return dealt.groupBy("bucket", "a", "b", "with_lead").applyInArrow(_linked(threshold), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK) -> DataFrame:
@@ -185,39 +268,44 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     size = bands * rows
-    described, path = store(describe(docs, id_col=id_col, text_col=text_col, width=width, bands=bands, rows=rows), "sets")
+    described, _ = store(describe(docs, id_col=id_col, text_col=text_col, width=width, bands=bands, rows=rows), "sets")
     whole = described.where("n_shingles > 0 and id is not null")
     same = ["set_hi", "set_lo"]
-    firsts, firsts_path = store(whole.groupBy(*same).agg(F.min("id").alias("id"), F.min("signature").alias("signature")), "classes")
+    firsts, _ = store(whole.groupBy(*same).agg(F.min("id").alias("id"), F.min("signature").alias("signature")), "classes")
     classes = firsts.select(F.col("id").cast("long").alias("id"), "signature")
 
     buckets = _buckets(classes, bands, rows)
-    shared, shared_path = store(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "buckets")
-    # each class with the first classes of its buckets; of those with an alike signature, the most alike
-    pairs = buckets.join(shared, "bucket").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    alike = _signature_filter(pairs, classes, threshold, slack, size)
-    best = alike.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
-    star, star_path = store(best.select("a", "b"), "pairs")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    members, members_path = store(buckets.join(shared, "bucket").select("bucket", "id", "n", "first"), "members")
+    release(spark)
 
-    def texts_of(pairs: DataFrame) -> tuple[DataFrame, str]:
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs, pairs_path = store(pairs.select("a", "b"), "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-        return store(source.join(wanted, "id", "left_semi"), "texts")
+        texts, texts_path = store(_texts_of(docs, wanted, id_col, text_col), "texts")
+        links, _ = store(_confirm(pairs, texts, threshold, width), "links")
+        discard(spark, pairs_path, texts_path)
+        release(spark)
+        return links
 
-    texts, texts_path = texts_of(star)
-    links, links_path = store(_confirm(star, texts, threshold, width), "links")
-    discard(spark, texts_path, star_path)
+    # each class with the first classes of its buckets; of those with an alike signature, the most alike
+    pairs = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    best = _signature_filter(pairs, classes, threshold, slack, size).groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
+    links = confirmed(best)
     label, label_path = store(connected_components(links), "labels")
-    alone = classes.select("id").join(label, classes["id"] == label["node"], "left").select("id", F.coalesce("component", "id").alias("component"))
-    release(spark)
-    rest, rest_path = store(_across(buckets, shared, alone, classes, threshold, slack, size), "pairs")
-    if not rest.isEmpty():
-        texts, texts_path = texts_of(rest)
-        more, more_path = store(_confirm(rest, texts, threshold, width).unionByName(links), "links")
-        discard(spark, texts_path, label_path)
-        label, label_path = store(connected_components(more), "labels")
-        discard(spark, more_path)
-    discard(spark, links_path, rest_path, shared_path)
+
+    # buckets that these links leave in several components
+    labelled = members.join(label, members["id"] == label["node"], "left").select("bucket", "id", "n", "first", F.coalesce("component", "id").alias("component"))
+    labelled, labelled_path = store(labelled, "labelled")
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("lead"), F.max("component").alias("other")).where("lead <> other").select("bucket", "lead")
+    mixed = labelled.join(split, "bucket")
+    few = mixed.where(F.col("n") <= FEW).select("bucket", "id", "component")
+    other = few.select("bucket", F.col("id").alias("b"), F.col("component").alias("c"))
+    close = few.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and component <> c").select("a", "b").distinct()
+    links = links.unionByName(confirmed(_signature_filter(close, classes, threshold, slack, size)))
+    links = links.unionByName(_across(mixed.where(F.col("n") > FEW), lambda wanted: _sets(_texts_of(docs, wanted, id_col, text_col), width), threshold))
+    label, _ = store(connected_components(links), "labels")
+    discard(spark, members_path, label_path, labelled_path)
     release(spark)
 
     group = firsts.join(label, F.col("id") == F.col("node"), "left").select(*same, F.coalesce("component", F.col("id").cast("long")).alias("component"))
