@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, mix, release, spread, store, table, utf8, word_hash
 
-BLOCK_TOKENS = 3_000_000  #: tokens that form a block
+BLOCK_TOKENS = 2_000_000  #: tokens that form a block
 PARTITION_TOKENS = 8_000_000  #: a partition of the tables for so many tokens at least
 HOT = 20_000  #: words with more than 1/HOT of all tokens are very frequent: fewer than HOT of them
 LARGEST = 5  #: counts up to this are discounted
