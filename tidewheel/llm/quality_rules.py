@@ -7,8 +7,9 @@ group of copies counts about once and is not taken for boilerplate.  A line is
 frequent in a host if more documents than the limit hold it; documents of which
 frequent lines make up most words are rejected.
 
-DataFrame functions only.  Counting is by (host, line, rest) first and combines
-on the map side; what is joined back are frequent lines alone.
+DataFrame functions only.  Hashes of lines are written once and read for counting
+and for judging.  Counting is by (host, line, rest) first and combines on the map
+side; what is joined back are frequent lines alone.
 
 Edge cases: null, empty or white-space texts have no words and fail the base
 rules; a null host is a host of its own; a null ``doc_id`` stays null; rows that
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import store, table
 
 SPACES = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -95,18 +96,18 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.select("id", "host", "text_key", line.alias("line"), F.col("x.n").cast("long").alias("n"), "all_words", rest.alias("rest"))
 
 
-def frequent_lines(df: DataFrame, *, limit: int = LINE_LIMIT, share: float = LINE_SHARE, distinct_share: float = DISTINCT_SHARE) -> DataFrame:
-    """(host, line, n_docs) of the lines above the limits in ``df`` (id, host, text, text_key)."""
-    held = _lines(df).groupBy("host", "line", "rest").agg(F.count("*").alias("n"))
+def frequent_lines(lines: DataFrame, df: DataFrame, *, limit: int = LINE_LIMIT, share: float = LINE_SHARE, distinct_share: float = DISTINCT_SHARE) -> DataFrame:
+    """(host, line, n_docs) of the lines above the limits; ``lines`` of the documents ``df`` (host)."""
+    held = lines.groupBy("host", "line", "rest").agg(F.count("*").alias("n"))
     counts = held.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
     counts = counts.where((F.col("n_docs") > limit) & (F.col("n_docs") >= F.col("n") * distinct_share))
     hosts = df.groupBy("host").agg(F.count("*").alias("host_docs"))
     return counts.join(hosts, "host").where(F.col("n_docs") > F.col("host_docs") * share).select("host", "line", "n_docs")
 
 
-def depleted(df: DataFrame, frequent: DataFrame, *, depleted_share: float = DEPLETED) -> DataFrame:
+def depleted(lines: DataFrame, frequent: DataFrame, *, depleted_share: float = DEPLETED) -> DataFrame:
     """(id, text_key, host) of the documents that frequent lines make up."""
-    found = _lines(df).join(frequent.select("host", "line"), ["host", "line"])
+    found = lines.join(frequent.select("host", "line"), ["host", "line"])
     found = found.dropDuplicates(["id", "text_key", "host", "line", "n"])
     lost = found.groupBy("id", "text_key", "host").agg(F.sum("n").alias("lost"), F.max("all_words").alias("all_words"))
     return lost.where(F.col("lost") >= F.col("all_words") * depleted_share).select("id", "text_key", "host")
@@ -117,10 +118,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
+def _depleted_documents(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    keyed = _keyed(docs, id_col, text_col, host_col)
+    lines, _ = store(_lines(keyed), "lines")
+    return depleted(lines, frequent_lines(lines, keyed))
+
+
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row for each row of ``docs``: the measures, ``base_failed`` and ``kept``."""
-    keyed = _keyed(docs, id_col, text_col, host_col)
-    gone = depleted(keyed, frequent_lines(keyed)).select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"), F.col("host").alias("gone_host"), F.lit(True).alias("gone"))
+    gone = _depleted_documents(docs, id_col, text_col, host_col).select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"), F.col("host").alias("gone_host"), F.lit(True).alias("gone"))
     m = measures(docs, id_col=id_col, text_col=text_col, host_col=host_col).drop("text").withColumn("base_failed", base_failed())
     same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")) & (F.col("host") == F.col("gone_host"))
     out = m.join(gone, same, "left").withColumn("kept", ~F.col("base_failed") & F.col("gone").isNull())
@@ -129,8 +135,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
 
 def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns, that the rules don't reject."""
-    keyed = _keyed(docs, id_col, text_col, host_col)
-    gone = depleted(keyed, frequent_lines(keyed))
+    gone = _depleted_documents(docs, id_col, text_col, host_col)
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col), F.col(text_col), F.col(host_col))
     m = measures(whole.withColumn("pair", F.struct(F.col(id_col).alias("own"), "row")), id_col="pair", text_col=text_col, host_col=host_col)
     m = m.where(~base_failed()).select("id.row", F.col("id.own").alias("own"), "text_key", "host")
