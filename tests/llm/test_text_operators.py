@@ -314,6 +314,27 @@ def test_repeats_are_cut_out(spark, edges):
     assert substring_dedup.remove_repeats(edges).count() == len(EDGES)
 
 
+def test_passages_repeat_in_differently_begun_text(spark):
+    rng = random.Random(7)
+
+    def prose(n):
+        return " ".join("w" + str(rng.randrange(10**6)) for _ in range(n))
+
+    passages = [prose(50) for _ in range(20)]
+    rows = [(i, f"{prose(i % 16)} {p} {prose(9)}".strip()) for i, p in enumerate(passages)]
+    rows += [(100 + i, f"{prose(3 * i % 17)} {p} {prose(i)}".strip()) for i, p in enumerate(passages)]
+    short = "Yes. We can. Go. Do it. Now then. Stop. Or not. All right. So."  # no three sentences hold ten words
+    rows += [(200, f"{prose(30)}. {short} {prose(30)}."), (201, f"{prose(20)}. {short}"), (202, f"{short} {prose(20)}."), (203, "Yes. We can. Go. " + prose(25))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(df).collect()}
+    for i, p in enumerate(passages):
+        assert out[i] == rows[i][1]
+        assert len(set(p.split()) & set(out[100 + i].split())) <= 25  # at least half of it goes
+        assert set(rows[20 + i][1].split()) - set(p.split()) <= set(out[100 + i].split())
+    assert out[200] == rows[40][1] and out[203] == rows[43][1]
+    assert not set(short.split()) & set(out[201].split()) and not set(short.split()) & set(out[202].split())
+
+
 # ---- quality classifier
 
 
