@@ -171,6 +171,19 @@ def test_quality_rules_reject_depleted_documents(spark):
     assert {r["doc_id"] for r in quality_rules.keep(df.where("doc_id < 60")).collect()} == set(range(60))
 
 
+def test_quality_rules_count_documents_that_share_several_lines(spark):
+    shared = [" ".join(f"menu{k}x{j}" for j in range(12)) for k in range(10)]
+    rows = [(i, "\n".join([f"title {i}", *shared]), "a") for i in range(100)]
+    rows += [(1000 + i, "\n".join(["one page", *shared[:2], "copied often"]), "a") for i in range(400)]  # copies count once and hide nothing
+    rows += [(2000 + i, "\n".join([f"title {i}", *shared]), "b") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df).collect()}
+    assert not any(kept[i] for i in range(100)) and all(kept[2000 + i] for i in range(20))
+    keyed = quality_rules._keyed(df, "doc_id", "text", "source")
+    counts = {(r["host"], r["n_docs"]) for r in quality_rules.frequent_lines(quality_rules._lines(keyed), keyed).collect()}
+    assert counts == {("a", 100), ("a", 101)}
+
+
 # ---- decontamination
 
 

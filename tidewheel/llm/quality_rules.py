@@ -2,13 +2,13 @@
 
 Lines are normalised (lower case, white space runs to one space) and hashed, and
 for each host and line the distinct documents that hold it are counted.  Two
-documents count as distinct by the smallest hash of their other lines, so that a
-group of copies counts about once and is not taken for boilerplate.  A line is
+documents count as distinct by the hash of their set of lines, so that a group of
+copies counts once and is not taken for boilerplate.  A line is
 frequent in a host if more documents than the limit hold it; documents of which
 frequent lines make up most words are rejected.
 
 DataFrame functions only.  Hashes of lines are written once and read for counting
-and for judging.  Counting is by (host, line, rest) first and combines on the map
+and for judging.  Counting is by (host, line, line_set) first and combines on the map
 side; what is joined back are frequent lines alone.
 
 Edge cases: null, empty or white-space texts have no words and fail the base
@@ -30,7 +30,7 @@ WINDOW = 8
 MIN_WORDS, REPEAT_PERCENT = 20, 30
 LINE_LIMIT = 20  #: documents of a host that may hold a line
 LINE_SHARE = 0.001  #: or this share of the host's documents, if that is more
-DISTINCT_SHARE = 0.5  #: of the documents that hold a frequent line, so many differ in the rest
+DISTINCT_SHARE = 0.5  #: of the SQL alone, which counts documents by the smallest hash of their other lines
 DEPLETED = 0.8  #: a document loses this share of its words in frequent lines, or more: rejected
 
 
@@ -85,22 +85,19 @@ def line_key(line: Column) -> Column:
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    """(id, text_key, host, line, n, all_words, rest) of every distinct line of ``df`` (id, host, text, text_key)."""
+    """(id, text_key, host, line, n, all_words, line_set) of every distinct line of ``df`` (id, host, text, text_key)."""
     each = F.transform(F.split("text", "\n"), lambda x: F.struct(line_key(x).alias("line"), F.size(F.array_remove(F.split(F.translate(x, SPACES, " " * len(SPACES)), " "), "")).alias("n")))
     df = df.select("id", "host", "text_key", F.array_distinct(F.filter(each, lambda x: x["line"].isNotNull())).alias("each"))
     keys = F.sort_array(F.array_distinct(F.transform("each", lambda x: x["line"])))
-    df = df.select("id", "host", "text_key", "each", F.slice(keys, 1, 2).alias("low"), F.aggregate("each", F.lit(0).cast("long"), lambda total, x: total + x["n"]).alias("all_words"))
-    df = df.select("id", "host", "text_key", "low", "all_words", F.explode_outer("each").alias("x")).where("x is not null")
-    line = F.col("x.line")
-    rest = F.when(line == F.get("low", F.lit(0)), F.coalesce(F.get("low", F.lit(1)), F.lit(""))).otherwise(F.get("low", F.lit(0)))
-    return df.select("id", "host", "text_key", line.alias("line"), F.col("x.n").cast("long").alias("n"), "all_words", rest.alias("rest"))
+    df = df.select("id", "host", "text_key", "each", F.xxhash64(keys).alias("line_set"), F.aggregate("each", F.lit(0).cast("long"), lambda total, x: total + x["n"]).alias("all_words"))
+    df = df.select("id", "host", "text_key", "line_set", "all_words", F.explode_outer("each").alias("x")).where("x is not null")
+    return df.select("id", "host", "text_key", F.col("x.line").alias("line"), F.col("x.n").cast("long").alias("n"), "all_words", "line_set")
 
 
-def frequent_lines(lines: DataFrame, df: DataFrame, *, limit: int = LINE_LIMIT, share: float = LINE_SHARE, distinct_share: float = DISTINCT_SHARE) -> DataFrame:
+def frequent_lines(lines: DataFrame, df: DataFrame, *, limit: int = LINE_LIMIT, share: float = LINE_SHARE) -> DataFrame:
     """(host, line, n_docs) of the lines above the limits; ``lines`` of the documents ``df`` (host)."""
-    held = lines.groupBy("host", "line", "rest").agg(F.count("*").alias("n"))
-    counts = held.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
-    counts = counts.where((F.col("n_docs") > limit) & (F.col("n_docs") >= F.col("n") * distinct_share))
+    held = lines.select("host", "line", "line_set").distinct()
+    counts = held.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > limit)
     hosts = df.groupBy("host").agg(F.count("*").alias("host_docs"))
     return counts.join(hosts, "host").where(F.col("n_docs") > F.col("host_docs") * share).select("host", "line", "n_docs")
 
