@@ -238,6 +238,33 @@ def test_license_scan_tolerates_changes(spark):
     assert {(r["doc_id"], r["license"]) for r in license_scan.scan(df).collect()} == {(1, "GPL-notice")}
 
 
+def test_license_lines_of_documents(spark, documents):
+    lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-short", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    texts = texts_of(documents)
+    assert sum(line in t for t in texts.values() for line in lines)
+    found = {}
+    for r in license_scan.scan(documents).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    for doc, text in texts.items():
+        assert found.get(doc, set()) >= {name for line, name in lines.items() if line in text}
+    rest = {
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0-name",
+        "Available under the CC BY-NC-ND 4.0 license": "CC-BY-NC-ND-4.0-short",
+        "licensed under cc by 3.0": "CC-BY-3.0-short",
+        "a Creative Commons Attribution-NoDerivs 3.0 Unported License": "CC-BY-ND-3.0-derivs",
+        "Licensed under the GNU General Public License, version 2 only": "GPL-2.0",
+        "Licensed under the BSD 3-Clause License": "BSD-3-Clause",
+        "Text under a CC BY-SA 4.0 license": "CC-BY-SA-4.0-short",
+    }
+    df = spark.createDataFrame([(i, f"Some words before it. {line} And some after.") for i, line in enumerate([*rest, *lines])], "doc_id long, text string")
+    got = {}
+    for r in license_scan.scan(df).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert all(name in got[i] for i, name in enumerate([*rest.values(), *lines.values()]))
+    for i, line in enumerate([*rest, *lines]):  # none is taken for non-commercial
+        assert {"NC" in n for n in got[i]} == {"NC" in line or "NonCommercial" in line}
+
+
 # ---- personal data
 
 

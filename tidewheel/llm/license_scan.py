@@ -55,14 +55,62 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "MIT-licensed": "Licensed under the MIT License.",
+    "Apache-2.0-short": "under the Apache License 2.0",
+    "BSD-licensed": "Licensed under the BSD License.",
+    "BSD-2-Clause": "under the BSD 2-Clause License",
+    "BSD-3-Clause": "under the BSD 3-Clause License",
+    "GPL-2.0": "GNU General Public License, version 2",
+    "GPL-2.0-short": "GNU General Public License v2",
+    "GPL-3.0-version": "GNU General Public License, version 3",
+    "GPL-3.0-short": "GNU General Public License v3",
+    "LGPL": "GNU Lesser General Public License",
+    "AGPL": "GNU Affero General Public License",
+    "GFDL": "under the terms of the GNU Free Documentation License",
+    "MPL-2.0-short": "Mozilla Public License, version 2.0",
+    "MPL-2.0-licensed": "under the Mozilla Public License 2.0",
+    "EPL-1.0": "Eclipse Public License v1.0",
+    "EPL-2.0-short": "Eclipse Public License v2.0",
+    "CDDL": "Common Development and Distribution License",
+    "EUPL": "the European Union Public Licence",
+    "Artistic-2.0": "under the Artistic License 2.0",
+    "OFL-1.1": "SIL Open Font License, Version 1.1",
+    "ODbL": "made available under the Open Database License",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "WTFPL": "Do What The Fuck You Want To Public License",
+    "CC0-1.0-short": "Licensed under CC0 1.0.",
+    "CC0-1.0-name": "Creative Commons CC0 1.0 Universal",
 }
 
+#: Creative Commons licenses: the parts of their names, by short form.
+CREATIVE_COMMONS = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+for _short, _long in CREATIVE_COMMONS.items():
+    TEMPLATES[f"CC-{_short}"] = f"a Creative Commons {_long} License"
+    for _version in ("3.0", "4.0"):
+        TEMPLATES[f"CC-{_short}-{_version}-name"] = f"Creative Commons {_long} {_version}"
+        if _short == "BY":  # four words say too little
+            TEMPLATES[f"CC-BY-{_version}-short"] = f"Licensed under CC BY {_version}."
+            TEMPLATES[f"CC-BY-{_version}-a"] = f"under a CC BY {_version} license"
+            TEMPLATES[f"CC-BY-{_version}-the"] = f"under the CC BY {_version} license"
+        else:
+            TEMPLATES[f"CC-{_short}-{_version}-short"] = f"CC {_short} {_version}"
+    if "ND" in _short:  # as it is written up to 3.0
+        TEMPLATES[f"CC-{_short}-3.0-derivs"] = f"Creative Commons {_long} 3.0".replace("NoDerivatives", "NoDerivs")
+
 
 def bands_needed(similarity: float, miss: float = MISS) -> int:
     """Bands of one minimum that a pair this similar misses all of with at most this probability."""
     return math.ceil(math.log(miss) / math.log(1 - similarity))
 
 
+BITS = 18  #: of the table that minima are looked up in first
 BASE = 8  #: shingles of the shortest stride; the others are powers of two of it
 
 
@@ -94,15 +142,21 @@ class TemplateClass:
         least = [(math.ceil(containment * len(s)), len(s)) for _, s, _ in self.templates]
         self.bands = bands_needed(min(k / (2 * stride + n - k) for k, n in least), miss)
         a, b = odd_multipliers(self.bands, 71), odd_multipliers(self.bands, 72)
-        self.minima = [((s[:, None] * a + b) >> np.uint64(32)).min(axis=0).astype(np.uint32) for _, s, _ in self.templates]
+        minima = np.array([((s[:, None] * a + b) >> np.uint64(32)).min(axis=0) for _, s, _ in self.templates])
+        keys = (np.arange(self.bands, dtype=np.uint64) << np.uint64(32) | minima).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.whose = keys[order], order // self.bands
+        self.bits = np.zeros(1 << BITS, bool)  # few values pass by chance
+        self.bits[minima & np.uint64(len(self.bits) - 1)] = True
 
     def candidates(self, windows: np.ndarray) -> list[tuple[int, int]]:
         """(template, first shingle of the window) of every pair that shares a band."""
-        found = []
-        for t, least in enumerate(self.minima):
-            hit = np.flatnonzero((windows[:, : self.bands] == least).any(axis=1))
-            found += [(t, w * self.stride) for w in hit.tolist()]
-        return found
+        part = windows[:, : self.bands]
+        row, band = np.nonzero(self.bits[part & np.uint32(len(self.bits) - 1)])
+        key = band.astype(np.uint64) << np.uint64(32) | part[row, band]
+        begin, end = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
+        found = {(t, row[k]) for k in np.flatnonzero(end > begin).tolist() for t in self.whose[begin[k] : end[k]].tolist()}
+        return [(t, int(w) * self.stride) for t, w in sorted(found)]
 
 
 def compile_templates(templates: dict[str, str], containment: float = CONTAINMENT, miss: float = MISS) -> list[TemplateClass]:
