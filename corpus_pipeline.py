@@ -13,8 +13,8 @@ from tidewheel.llm.common import store, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules don't reject."""
-    return quality_rules.keep(docs)
+    """Documents that the quality rules don't reject, without frequent lines."""
+    return quality_rules.clean(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

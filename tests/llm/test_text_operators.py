@@ -184,6 +184,22 @@ def test_quality_rules_count_documents_that_share_several_lines(spark):
     assert counts == {("a", 100), ("a", 101)}
 
 
+def test_frequent_lines_are_cut_out(spark):
+    rng = random.Random(8)
+    own = ["\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(15)) for _ in range(3)) for _ in range(40)]
+    menu, bar = "Home  About us Contact", "terms of use apply here"
+    rows = [(i, f"{menu}\n{t}\n\n  {bar.upper()}", "a", 0) for i, t in enumerate(own)] + [(100, f"{menu}\n{own[0]}", "b", 7), (None, f"{own[1]}\n{menu}", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    out = {r["doc_id"]: r for r in quality_rules.clean(df).collect()}
+    assert len(out) == len(rows) and quality_rules.clean(df).columns == df.columns
+    for i, t in enumerate(own):
+        assert out[i]["text"] == f"{t}\n" and out[i]["n_chars"] == len(t) + 1
+    assert out[100]["text"] == rows[-2][1] and out[100]["n_chars"] == 7 and out[None]["text"] == own[1]
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    assert {r["text"] for r in corpus_pipeline.quality(spark, df, "").collect()} == {r["text"] for r in out.values()}
+    assert quality_rules.clean(df.limit(0)).count() == 0
+
+
 # ---- decontamination
 
 

@@ -5,7 +5,8 @@ for each host and line the distinct documents that hold it are counted.  Two
 documents count as distinct by the hash of their set of lines, so that a group of
 copies counts once and is not taken for boilerplate.  A line is
 frequent in a host if more documents than the limit hold it; documents of which
-frequent lines make up most words are rejected.
+frequent lines make up most words are rejected.  :func:`clean` also cuts the
+frequent lines out of the others; measures are those of whole texts.
 
 DataFrame functions only.  Hashes of lines are written once and read for counting
 and for judging.  Counting is by (host, line, line_set) first and combines on the map
@@ -102,12 +103,23 @@ def frequent_lines(lines: DataFrame, df: DataFrame, *, limit: int = LINE_LIMIT,
     return counts.join(hosts, "host").where(F.col("n_docs") > F.col("host_docs") * share).select("host", "line", "n_docs")
 
 
-def depleted(lines: DataFrame, frequent: DataFrame, *, depleted_share: float = DEPLETED) -> DataFrame:
-    """(id, text_key, host) of the documents that frequent lines make up."""
+def held_lines(lines: DataFrame, frequent: DataFrame, *, depleted_share: float = DEPLETED) -> DataFrame:
+    """(id, text_key, host, held, depleted) of the documents with frequent lines; held: those lines' keys."""
     found = lines.join(frequent.select("host", "line"), ["host", "line"])
     found = found.dropDuplicates(["id", "text_key", "host", "line", "n"])
-    lost = found.groupBy("id", "text_key", "host").agg(F.sum("n").alias("lost"), F.max("all_words").alias("all_words"))
-    return lost.where(F.col("lost") >= F.col("all_words") * depleted_share).select("id", "text_key", "host")
+    lost = found.groupBy("id", "text_key", "host").agg(F.sum("n").alias("lost"), F.max("all_words").alias("all_words"), F.collect_set("line").alias("held"))
+    return lost.select("id", "text_key", "host", "held", (F.col("lost") >= F.col("all_words") * depleted_share).alias("depleted"))
+
+
+def depleted(lines: DataFrame, frequent: DataFrame, *, depleted_share: float = DEPLETED) -> DataFrame:
+    """(id, text_key, host) of the documents that frequent lines make up."""
+    return held_lines(lines, frequent, depleted_share=depleted_share).where("depleted").select("id", "text_key", "host")
+
+
+def without_lines(text: Column, held: Column) -> Column:
+    """The text without the lines whose keys are held; as it is if that is null."""
+    rest = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains(held, line_key(x)), F.lit(False)))
+    return F.when(held.isNull(), text).otherwise(F.array_join(rest, "\n"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -133,11 +145,33 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
 def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns, that the rules don't reject."""
     gone = _depleted_documents(docs, id_col, text_col, host_col)
+    m = _passing(docs, id_col, text_col, host_col)
+    return m.join(gone, _same(m, gone), "left_anti").select("row.*")
+
+
+def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The rows that :func:`keep` keeps, without frequent lines in their texts; ``chars_col``, where there is one, follows."""
+    keyed = _keyed(docs, id_col, text_col, host_col)
+    lines, _ = store(_lines(keyed), "lines")
+    found = held_lines(lines, frequent_lines(lines, keyed))
+    m = _passing(docs, id_col, text_col, host_col)
+    out = m.join(found, _same(m, found), "left").where(~F.coalesce(F.col("depleted"), F.lit(False))).select("row.*", "held")
+    out = out.withColumn(text_col, without_lines(F.col(text_col), F.col("held")))
+    if chars_col in docs.columns:
+        chars = F.length(text_col).cast(docs.schema[chars_col].dataType)
+        out = out.withColumn(chars_col, F.when(F.col("held").isNull(), F.col(chars_col)).otherwise(chars))
+    return out.select(*docs.columns)
+
+
+def _passing(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """(row, own, text_key, host) of the rows that pass the base rules."""
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col), F.col(text_col), F.col(host_col))
     m = measures(whole.withColumn("pair", F.struct(F.col(id_col).alias("own"), "row")), id_col="pair", text_col=text_col, host_col=host_col)
-    m = m.where(~base_failed()).select("id.row", F.col("id.own").alias("own"), "text_key", "host")
-    same = m["own"].eqNullSafe(gone["id"]) & (m["text_key"] == gone["text_key"]) & (m["host"] == gone["host"])
-    return m.join(gone, same, "left_anti").select("row.*")
+    return m.where(~base_failed()).select("id.row", F.col("id.own").alias("own"), "text_key", "host")
+
+
+def _same(m: DataFrame, found: DataFrame) -> Column:
+    return m["own"].eqNullSafe(found["id"]) & (m["text_key"] == found["text_key"]) & (m["host"] == found["host"])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
