@@ -418,82 +418,3 @@ def test_lowest_kept(spark):
         score, i = quality_classifier.lowest_kept(df, k, bins=16, few=50)
         assert (i, score) == ordered[k - 1]
     assert quality_classifier.lowest_kept(df, 0) is None
-
-
-# ---- language model
-
-
-class Katz:
-    """The model in plain Python."""
-
-    def __init__(self, texts):
-        self.uni, self.bi = Counter(), Counter()
-        for text in texts:
-            before = None
-            for w in self.words(text):
-                self.uni[w] += 1
-                self.bi[before, w] += 1
-                before = w
-        n = lambda c: [0, *(sum(x == r for x in c.values()) for r in range(1, lm_scoring.LARGEST + 2))]
-        self.own = lm_scoring.Unigrams(sum(self.uni.values()), n(self.uni))
-        self.keep = lm_scoring.discounts(n(self.bi))
-        self.after = {}
-        for (h, w), c in self.bi.items():
-            self.after.setdefault(h, {})[w] = c
-
-    @staticmethod
-    def words(text):
-        return [*(text.encode().lower().split()), b"\n"]
-
-    def p(self, w, h):
-        alone = lambda w: float(self.own(np.array([self.uni[w]]))[0])
-        followers = self.after.get(h)
-        if not followers:
-            return alone(w)
-        kept = {x: c * (self.keep[c] if c <= lm_scoring.LARGEST else 1) for x, c in followers.items()}
-        whole = sum(followers.values())
-        if whole - sum(kept.values()) <= 1e-9 * whole:
-            whole += 1
-        if w in followers:
-            return kept[w] / whole
-        return (1 - sum(kept.values()) / whole) / (1 - sum(map(alone, followers))) * alone(w)
-
-    def score(self, text):
-        total, before = 0.0, None
-        for w in self.words(text):
-            total += math.log10(self.p(w, before))
-            before = w
-        return total
-
-
-def held(i):
-    return zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-
-
-@pytest.mark.parametrize("block", [10**7, 3000])
-def test_katz_scores(documents, block):
-    texts = texts_of(documents)
-    model = Katz([t for i, t in texts.items() if not held(i)])
-    tokens = sum(model.uni.values())
-    for r in lm_scoring.score_documents(documents, block_tokens=block).collect():
-        words = Katz.words(texts[r["doc_id"]])
-        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held(r["doc_id"]), len(words), tokens)
-        assert r["n_known"] == sum(model.uni[w] > 0 for w in words)
-        assert r["base_score"] == pytest.approx(sum(math.log10((model.uni[w] + 0.1) / (tokens + 0.1 * (len(model.uni) + 1))) for w in words))
-        if r["doc_id"] % 5 == 0 or r["held_out"]:
-            assert r["score"] == pytest.approx(model.score(texts[r["doc_id"]]))
-
-
-def test_katz_is_normalised(documents):
-    model = Katz([t for i, t in texts_of(documents).items() if i % 9 == 0])
-    for h in [None, *list(model.after)[:40], b"never seen"]:
-        assert sum(model.p(w, h) for w in [*model.uni, b"no such word"]) == pytest.approx(1)
-
-
-def test_katz_edges(edges):
-    rows = lm_scoring.score_documents(edges).collect()
-    assert len(rows) == len(EDGES) and all(math.isfinite(r["score"]) for r in rows)
-    assert {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
-    assert lm_scoring.score_documents(edges.limit(0)).count() == 0
-    none = lm_scoring.score_documents(edges.where("doc_id = 1 and false or doc_id is null and false"))
-    assert none.count() == 0

@@ -1,66 +1,18 @@
-"""Shared pieces: working tables in the cluster's shared folder, words, hashes."""
+"""Shared pieces: words, hashes, and rows told apart by bit tables of fixed size."""
 
 from __future__ import annotations
 
-import gc
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORK_KEY = "spark.checkpoint.dir"
-LOCAL_WORK = "file:///tmp/checkpoints"
-
-#: Word rule of the contracts: runs of anything but ASCII white space.
-WHITE_SPACE = " \t\n\x0b\f\r"
-
+from ..plans.tables import discard, store, work_dir  # noqa: F401  the operators take them from here
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local default only for local masters."""
-    base = spark.conf.get(WORK_KEY, None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError(f"set {WORK_KEY} to a folder that all executors share")
-        base = LOCAL_WORK
-    return f"{base}/tidewheel"
-
-
-def _path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a Parquet table in the shared folder; return it reread, and its path.
-
-    The table cuts the lineage and outlives lost executors.  It goes when the
-    driver's JVM ends, or earlier through :func:`discard`.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    at = _path(spark, path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    for path in paths:
-        at = _path(spark, path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished phases."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,20 +1,22 @@
-"""Language-model scoring: Katz backoff over words, two words deep.
+"""Language-model scoring: Katz backoff over words, three words deep.
 
 Counts are discounted after Good and Turing, the mass so freed goes to backing
 off, and backoff weights are normalised exactly over the vocabulary and one
-class of unknown words.  Each token is evaluated recursively: by its pair with
-the word before it if training texts hold that pair, else by the backoff weight
-of that word times the token's own probability.
+class of unknown words.  Each token is evaluated recursively: by its gram of
+``order`` words if training texts hold that, else by the backoff weight of the
+words before it times its probability after one word less, down to its own.
 
 The model is never in one place.  Documents form blocks of bounded size that
-hold each distinct word and pair once.  Blocks ask tables partitioned by word
-and by pair, which sum the counts of all blocks and answer each block, aligned
-with what it asked.  A frequent word costs one entry for each block, not one for
-each occurrence; the pairs after a very frequent word are spread over all
-partitions and only that word's sums are joined.
+hold each distinct gram once.  For each length in turn, blocks ask a table
+partitioned by context, which sums the counts of all blocks and answers each
+block, aligned with what it asked.  A frequent gram costs one entry for each
+block, not one for each occurrence; the grams after a very frequent context are
+spread over all partitions and only that context's sums are joined.  A block
+sends a partition one row at most, and never more rows than it has distinct
+grams, which is what a join by gram would shuffle.
 
 Tokens: ASCII letters lower-cased, words cut at ASCII white space, and one end
-for each document; the first token follows a start, which is never predicted.
+for each document; before the first token stands a start, which is never predicted.
 
 Edge cases: a null or empty text is its end alone; a null ``doc_id`` is hashed as
 an empty text and stays null; repeated rows count and are scored each; other
@@ -34,18 +36,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, mix, release, spread, store, table, utf8, word_hash
+from .common import mix, odd_multipliers, spread, store, table, utf8, word_hash
 
-BLOCK_TOKENS = 2_000_000  #: tokens that form a block
-PARTITION_TOKENS = 8_000_000  #: a partition of the tables for so many tokens at least
-HOT = 20_000  #: words with more than 1/HOT of all tokens are very frequent: fewer than HOT of them
+ORDER = 3  #: words of the longest grams
+BLOCK_TOKENS = 1_000_000  #: tokens that form a block
+PARTITION_TOKENS = 4_000_000  #: a partition of the tables for so many tokens at least
+HOT = 20_000  #: contexts with more than 1/HOT of all tokens are very frequent: fewer than HOT of each length
 LARGEST = 5  #: counts up to this are discounted
 END = word_hash(b"\n")  #: no word holds a line end
 
 
 def packed(values: np.ndarray) -> bytes:
     """Compressed integers or doubles, bytes of equal weight together."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
@@ -157,7 +160,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_tokens: int) -> D
 
 
 class Block:
-    """One block's arrays."""
+    """One block's arrays, its words in the order of their global numbers once these are known."""
 
     def __init__(self, row: dict):
         self.lengths = unpacked(row["lengths"], np.uint32).astype(np.int64)
@@ -165,6 +168,7 @@ class Block:
         self.words = unpacked(row["words"], np.uint64)
         self.tokens = unpacked(row["tokens"], np.uint32).astype(np.int64)
         self.training = np.repeat(~self.held, self.lengths)
+        self.begin = np.append(0, np.cumsum(self.lengths)[:-1])
 
     def asked_words(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """(places in ``words`` in the order of asking, where each partition begins)."""
@@ -172,22 +176,115 @@ class Block:
         order = np.lexsort((self.words, part))
         return order, np.searchsorted(part[order], np.arange(parts + 1).astype(np.uint64))
 
-    def pairs(self, number: np.ndarray, seen: np.ndarray, tokens: int, parts: int) -> dict:
-        """Distinct pairs in the order of asking.  number, seen: id and training count of each of ``words``."""
-        start = len(self.words)  # stands for the start of a document
-        before = np.append(start, self.tokens[:-1])
-        before[np.append(0, np.cumsum(self.lengths)[:-1])] = start
-        key = before * (start + 1) + self.tokens
-        distinct, at = np.unique(key, return_inverse=True)
-        counts = np.bincount(at[self.training], minlength=len(distinct))
-        context, word = distinct // (start + 1), distinct % (start + 1)
-        h, w = np.append(number + 1, 0)[context], number[word]
-        hot = (h == 0) | (np.append(seen, 0)[context] * HOT > tokens)
-        part = (mix(np.where(hot, w, h).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((w, h, part))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return {"h": h[order], "w": w[order], "cw": seen[word][order], "n": counts[order], "hot": hot[order], "begin": np.searchsorted(part[order], np.arange(parts + 1)), "of_token": place[at], "word": word[order]}
+
+class Grams:
+    """The distinct grams of one length in a block, sorted by context and word, and what the tables say of them.
+
+    key: what stands for a gram as the context of the next length; of_token: the
+    gram that ends at each token; lower: the gram of one word less.
+    """
+
+    def __init__(self, of_token: np.ndarray, key: np.ndarray):
+        self.of_token, self.key = of_token, key
+        self.total = self.divisor = self.p = None
+
+
+class Model:
+    """What blocks and tables have to know of the model: a few numbers, and the sums of very frequent contexts."""
+
+    def __init__(self, parts: int):
+        self.parts = parts
+        self.own, self.vocabulary, self.base = None, 0, 0
+        self.keep, self.hot = {}, {}
+
+    def placed(self, digits: int) -> bool:
+        """Keys of so many words are numbers to the base ``base``; longer ones are hashed."""
+        return self.base**digits < 1 << 62
+
+    def longer(self, context: np.ndarray, word: np.ndarray, digits: int) -> np.ndarray:
+        if self.placed(digits):
+            return context * self.base + word + 1
+        both = context.view(np.uint64) * _FOLD + word.astype(np.uint64)
+        return (mix(both) >> np.uint64(1)).astype(np.int64) | 1
+
+    def shorter(self, context: np.ndarray, k: int) -> np.ndarray:
+        """The context of one word less of grams of length k; each entry by itself where keys are hashed."""
+        return context % self.base ** (k - 2) if self.placed(k - 1) else np.arange(len(context))
+
+    def kept(self, k: int, total: np.ndarray) -> np.ndarray:
+        return np.where(total <= LARGEST, self.keep[k][np.minimum(total, LARGEST)], 1.0) * total
+
+    def words(self, block: Block, answers: list[dict]) -> Grams:
+        order, begin = block.asked_words(self.parts)
+        number, seen = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        for a in answers:
+            if a["level"] == 1:
+                at = order[begin[a["part"]] : begin[a["part"] + 1]]
+                number[at], seen[at] = unpacked(a["a"], np.int64), unpacked(a["b"], np.uint32)
+        by = np.argsort(number)
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        found = Grams(place[block.tokens], number[by] + 1)
+        found.total, found.word, found.p = seen[by], number[by], self.own(seen[by])
+        return found
+
+    def grams(self, block: Block, one: Grams, below: Grams, k: int) -> Grams:
+        """The grams of length k, as they are asked for."""
+        before = np.append(0, below.of_token[:-1] + 1)
+        before[block.begin] = 0  # the start of a document
+        size = len(one.key)
+        distinct, first, at = np.unique(before * size + one.of_token, return_index=True, return_inverse=True)
+        context, word = distinct // size, one.word[distinct % size]
+        h = np.append(0, below.key)[context]
+        found = Grams(at, self.longer(h, word, k))
+        found.h, found.w, found.lower = h, word, below.of_token[first]
+        found.n = np.bincount(at[block.training], minlength=len(distinct))
+        found.hot = (context == 0) | (np.append(0, below.total)[context] * HOT > self.own.tokens)
+        spread_key = np.where(found.hot, h.view(np.uint64) * _FOLD + word.astype(np.uint64), h.view(np.uint64))
+        part = (mix(spread_key) % np.uint64(self.parts)).astype(np.uint32)
+        found.order = np.argsort(part, kind="stable")
+        found.begin = np.searchsorted(part[found.order], np.arange(self.parts + 1))
+        return found
+
+    def answered(self, found: Grams, below: Grams, answers: list[dict], k: int) -> None:
+        """Fill in counts, divisors and probabilities."""
+        n = len(found.h)
+        total, divisor, weight = np.zeros(n, np.int64), np.ones(n), np.ones(n)
+        for a in answers:
+            if a["level"] == k:
+                at = found.order[found.begin[a["part"]] : found.begin[a["part"] + 1]]
+                total[at] = unpacked(a["a"], np.uint32)
+                at = at[~found.hot[at]]
+                if len(at):
+                    whose, asking = _contexts(found.h[at], total[at])
+                    lower = np.zeros(whose[-1] + 1)
+                    lower[asking] = unpacked(a["c"], np.float64)
+                    sums = unpacked(a["b"], np.int64).reshape(-1, len(lower))
+                    d, b = backoff(sums[:LARGEST], sums[LARGEST], lower, self.keep[k])
+                    divisor[at], weight[at] = d[whose], b[whose]
+        keys, its_divisor, its_weight = self.hot[k].value
+        if len(keys):
+            i = np.flatnonzero(found.hot)
+            at = np.searchsorted(keys, found.h[i])
+            divisor[i], weight[i] = its_divisor[at], its_weight[at]
+        found.total, found.divisor = total, divisor
+        found.p = np.where(total > 0, self.kept(k, total) / divisor, weight * below.p[found.lower])
+
+    def levels(self, block: Block, answers: list[dict], upto: int) -> list[Grams]:
+        found = [self.words(block, answers)]
+        for k in range(2, upto + 1):
+            found.append(self.grams(block, found[0], found[-1], k))
+            self.answered(found[-1], found[-2], answers, k)
+        return found
+
+
+_FOLD = odd_multipliers(1, 41)[0]
+
+
+def _contexts(h: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each entry's context in a message, contexts that ask for their backing off: those of unseen grams)."""
+    whose = np.cumsum(np.append(0, h[1:] != h[:-1]))
+    return whose, np.unique(whose[total == 0])
 
 
 # ---- words
@@ -207,9 +304,9 @@ def _ask_words(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.select("block", "lengths", "held", "words", "tokens").mapInArrow(run, "part int, block long, words binary, counts binary")
 
 
-_ANSWER = "block long, part int, kind int, a binary, b binary, c binary, n array<long>, hot array<array<double>>"
-_ANSWER_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("n", pa.list_(pa.int64())), ("hot", pa.list_(pa.list_(pa.float64())))])
-_WORDS, _PAIRS, _STATS = 1, 2, 0
+#: level 0: a partition's own sums; the others: the length of the grams answered
+_ANSWER = "block long, part int, level int, a binary, b binary, c binary, n array<long>, hot array<struct<h: long, s: array<double>>>"
+_ANSWER_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("level", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("n", pa.list_(pa.int64())), ("hot", pa.list_(pa.struct([("h", pa.int64()), ("s", pa.list_(pa.float64()))])))])
 
 
 def _answers(rows: list[tuple]) -> pa.Table:
@@ -222,7 +319,7 @@ def _count_of_counts(c: np.ndarray) -> list[int]:
 
 
 def _sum_words(asked: DataFrame, parts: int) -> DataFrame:
-    """Per block, ids and counts of its words; per partition, its sums."""
+    """Per block, numbers and counts of its words; per partition, its sums and how many words it holds."""
 
     def one(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -231,83 +328,89 @@ def _sum_words(asked: DataFrame, parts: int) -> DataFrame:
         distinct, at = np.unique(np.concatenate(each), return_inverse=True)
         total = np.bincount(at, np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]), len(distinct)).astype(np.int64)
         number = np.empty(len(distinct), np.int64)
-        number[np.argsort(-total, kind="stable")] = np.arange(len(distinct)) * parts + part  # frequent words get small ids
+        number[np.argsort(-total, kind="stable")] = np.arange(len(distinct)) * parts + part  # frequent words get small numbers
         out, done = [], 0
         for r, own in zip(rows, each, strict=True):
             i = at[done : done + len(own)]
             done += len(own)
-            out.append((r["block"], part, _WORDS, packed(number[i]), packed(total[i]), None, None, None))
-        out.append((None, part, _STATS, None, None, None, [int(total.sum()), int((total > 0).sum()), *_count_of_counts(total)], None))
+            out.append((r["block"], part, 1, packed(number[i]), packed(total[i].astype(np.uint32)), None, None, None))
+        out.append((None, part, 0, None, None, None, [len(distinct), int(total.sum()), int((total > 0).sum()), *_count_of_counts(total)], None))
         return _answers(out)
 
     return asked.groupBy("part").applyInArrow(one, _ANSWER)
 
 
-def _fill_words(block: Block, answers: list[dict], parts: int) -> tuple[np.ndarray, np.ndarray]:
-    order, begin = block.asked_words(parts)
-    number, seen = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-    for a in answers:
-        if a["kind"] == _WORDS:
-            at = order[begin[a["part"]] : begin[a["part"] + 1]]
-            number[at], seen[at] = unpacked(a["a"], np.int64), unpacked(a["b"], np.int64)
-    return number, seen
-
+# ---- longer grams
 
-# ---- pairs
 
-
-def _ask_pairs(blocks: DataFrame, answers: DataFrame, tokens: int, parts: int) -> DataFrame:
-    fields = ("h", "w", "cw", "n", "hot")
+def _ask(blocks: DataFrame, answers: DataFrame, model: Model, k: int) -> DataFrame:
+    fields = ("h", "w", "c", "d", "n", "hot")
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((f, pa.binary()) for f in fields)])
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
+        rows, answered = [], right.to_pylist()
         for row in left.to_pylist():
             block = Block(row)
-            pairs = block.pairs(*_fill_words(block, right.to_pylist(), parts), tokens, parts)
-            for p in range(parts):
-                at = slice(pairs["begin"][p], pairs["begin"][p + 1])
-                if at.stop > at.start:
-                    h = np.diff(pairs["h"][at], prepend=0)
-                    rows.append({"part": p, "block": row["block"], "h": packed(h), "w": packed(pairs["w"][at]), "cw": packed(pairs["cw"][at]), "n": packed(pairs["n"][at].astype(np.uint32)), "hot": packed(pairs["hot"][at].astype(np.uint8))})
+            known = model.levels(block, answered, k - 1)
+            below = known[-1]
+            found = model.grams(block, known[0], below, k)
+            del known
+            c = below.total[found.lower].astype(np.uint32)
+            d = None if below.divisor is None else below.divisor[found.lower].astype(np.int64)
+            w = found.w.astype(np.uint32) if model.base < 1 << 32 else found.w
+            for p in range(model.parts):
+                at = found.order[found.begin[p] : found.begin[p + 1]]
+                if len(at):
+                    h = found.h[at]
+                    its = {"h": np.diff(h, prepend=0), "w": w[at], "c": c[at], "n": found.n[at].astype(np.uint32), "hot": found.hot[at].astype(np.uint8)}
+                    if d is not None:  # one for each shorter context
+                        its["d"] = d[at][np.unique(model.shorter(h, k), return_index=True)[1]]
+                    rows.append({"part": p, "block": row["block"]} | {f: packed(x) for f, x in its.items()})
         return pa.Table.from_pylist(rows, schema)
 
-    of_words = answers.where(F.col("kind") == _WORDS).select("block", "part", "kind", "a", "b")
+    known = answers.where("level > 0").select("block", "part", "level", "a", "b", "c")
     held = blocks.select("block", "lengths", "held", "words", "tokens")
-    return held.groupBy("block").cogroup(of_words.groupBy("block")).applyInArrow(one, "part int, block long, " + ", ".join(f"{f} binary" for f in fields))
+    return held.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(one, "part int, block long, " + ", ".join(f"{f} binary" for f in fields))
 
 
-def _sum_pairs(asked: DataFrame, own: Unigrams) -> DataFrame:
-    """Per block, counts of its pairs and sums of its contexts; per partition, its sums and those of very frequent contexts."""
+def _sum(asked: DataFrame, model: Model, k: int) -> DataFrame:
+    """Per block, counts of its grams and sums of its contexts; per partition, its sums and those of very frequent contexts."""
+    kind = np.uint32 if model.base < 1 << 32 else np.int64
 
     def one(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         part = rows[0]["part"]
         each = [np.cumsum(unpacked(r["h"], np.int64)) for r in rows]
-        h = np.concatenate(each)
-        contexts, h_at = np.unique(h, return_inverse=True)
-        words, w_at = np.unique(np.concatenate([unpacked(r["w"], np.int64) for r in rows]), return_inverse=True)
+        contexts, h_at = np.unique(np.concatenate(each), return_inverse=True)
+        words, w_at = np.unique(np.concatenate([unpacked(r["w"], kind) for r in rows]), return_inverse=True)
         hot_of = np.zeros(len(contexts), bool)
         hot_of[h_at] = np.concatenate([unpacked(r["hot"], np.uint8) for r in rows]).astype(bool)
-        seen = np.zeros(len(words), np.int64)
-        seen[w_at] = np.concatenate([unpacked(r["cw"], np.int64) for r in rows])
-        distinct, at = np.unique(h_at * len(words) + w_at, return_inverse=True)
+        distinct, first, at = np.unique(h_at * len(words) + w_at, return_index=True, return_inverse=True)
+        del w_at
         total = np.bincount(at, np.concatenate([unpacked(r["n"], np.uint32) for r in rows]), len(distinct)).astype(np.int64)
-        context, word = distinct // len(words), distinct % len(words)
-        small = np.stack([np.bincount(context[total == k], minlength=len(contexts)) for k in range(1, LARGEST + 1)])
-        big = np.bincount(context, np.where(total > LARGEST, total, 0), len(contexts)).astype(np.int64)
-        lower = np.bincount(context, np.where(total > 0, own(seen[word]), 0.0), len(contexts))
-        sums = np.concatenate([small, big[None]]).astype(np.int64)
+        c = np.concatenate([unpacked(r["c"], np.uint32) for r in rows])[first].astype(np.int64)
+        if k == 2:
+            lower = model.own(c)
+        else:
+            d = np.concatenate([unpacked(r["d"], np.int64)[np.unique(model.shorter(h, k), return_inverse=True)[1]] for r, h in zip(rows, each, strict=True)])[first]
+            lower = model.kept(k - 1, c) / d
+        context = distinct // len(words)
+        sums = np.stack([*(np.bincount(context[total == r], minlength=len(contexts)) for r in range(1, LARGEST + 1)), np.bincount(context, np.where(total > LARGEST, total, 0), len(contexts)).astype(np.int64)])
+        lower = np.bincount(context, np.where(total > 0, lower, 0.0), len(contexts))
         out, done = [], 0
         for r, its in zip(rows, each, strict=True):
             i = slice(done, done + len(its))
             done += len(its)
-            asked_for = np.unique(h_at[i])
-            asked_for = asked_for[~hot_of[asked_for]]
-            out.append((r["block"], part, _PAIRS, packed(total[at[i]]), packed(sums[:, asked_for].ravel()), packed(lower[asked_for]), None, None))
-        hot = np.flatnonzero(hot_of)
-        table_of_hot = np.concatenate([contexts[None, hot].astype(float), sums[:, hot].astype(float), lower[None, hot]]).T.tolist()
-        out.append((None, part, _STATS, None, None, None, _count_of_counts(total), table_of_hot))
+            counts, whose = total[at[i]], h_at[i]
+            cold = ~hot_of[whose]
+            asked_for, asking = whose[cold], None
+            if len(asked_for):
+                number, asking = _contexts(asked_for, counts[cold])
+                asked_for = asked_for[np.append(True, number[1:] != number[:-1])]
+            answer = (packed(sums[:, asked_for].ravel()), packed(lower[asked_for][asking])) if asking is not None else (None, None)
+            out.append((r["block"], part, k, packed(counts.astype(np.uint32)), *answer, None, None))
+        hot = [{"h": int(contexts[i]), "s": [*sums[:, i].tolist(), float(lower[i])]} for i in np.flatnonzero(hot_of).tolist()]
+        out.append((None, part, 0, None, None, None, _count_of_counts(total), hot))
         return _answers(out)
 
     return asked.groupBy("part").applyInArrow(one, _ANSWER)
@@ -316,75 +419,66 @@ def _sum_pairs(asked: DataFrame, own: Unigrams) -> DataFrame:
 # ---- scores
 
 
-def _score(blocks: DataFrame, answers: DataFrame, own: Unigrams, vocabulary: int, keep: np.ndarray, hot, parts: int, kind: str) -> DataFrame:
-    tokens = own.tokens
+def _score(blocks: DataFrame, answers: DataFrame, model: Model, order: int, kind: str, token_scores: bool) -> DataFrame:
+    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", *(["token_scores"] if token_scores else [])]
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         answered = right.to_pylist()
         for k, row in enumerate(left.drop_columns(["ids"]).to_pylist()):
             block = Block(row)
-            number, seen = _fill_words(block, answered, parts)
-            pairs = block.pairs(number, seen, tokens, parts)
-            n = len(pairs["h"])
-            total, divisor, weight = np.zeros(n, np.int64), np.ones(n), np.ones(n)
-            for a in answered:
-                if a["kind"] == _PAIRS:
-                    at = slice(pairs["begin"][a["part"]], pairs["begin"][a["part"] + 1])
-                    total[at] = unpacked(a["a"], np.int64)
-                    h, cold = pairs["h"][at], ~pairs["hot"][at]
-                    asked_for, back = np.unique(h[cold], return_inverse=True)
-                    if len(asked_for):
-                        sums, lower = unpacked(a["b"], np.int64).reshape(-1, len(asked_for)), unpacked(a["c"], np.float64)
-                        d, b = backoff(sums[:LARGEST], sums[LARGEST], lower, keep)
-                        divisor[at.start + np.flatnonzero(cold)], weight[at.start + np.flatnonzero(cold)] = d[back], b[back]
-            ids_of_hot, divisor_of_hot, weight_of_hot = hot.value
-            if len(ids_of_hot):
-                i = np.flatnonzero(pairs["hot"])
-                at = np.searchsorted(ids_of_hot, pairs["h"][i])
-                divisor[i], weight[i] = divisor_of_hot[at], weight_of_hot[at]
-            kept = np.where(total <= LARGEST, keep[np.minimum(total, LARGEST)], 1.0) * total
-            alone = own(pairs["cw"])
-            log_p = np.log10(np.where(total > 0, kept / divisor, weight * alone))
-            begin = np.append(0, np.cumsum(block.lengths)[:-1])
-            base = np.log10((seen + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
-            sums = [np.add.reduceat(x, begin) for x in ((seen > 0).astype(np.int64)[block.tokens], base[block.tokens], log_p[pairs["of_token"]])]
-            columns = [left.column("ids").combine_chunks().slice(k, 1).flatten(), pa.array(block.held), pa.array(block.lengths), pa.array(sums[0]), pa.array(np.full(len(begin), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-            out.append(pa.Table.from_arrays(columns, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+            known = model.levels(block, answered, order)
+            words, longest, tokens = known[0], known[-1], model.own.tokens
+            base = np.log10((words.total + 0.1) / (tokens + 0.1 * (model.vocabulary + 1)))
+            log_p = np.log10(longest.p)[longest.of_token]
+            sums = [np.add.reduceat(x, block.begin) for x in ((words.total > 0).astype(np.int64)[words.of_token], base[words.of_token], log_p)]
+            columns = [left.column("ids").combine_chunks().slice(k, 1).flatten(), pa.array(block.held), pa.array(block.lengths), pa.array(sums[0]), pa.array(np.full(len(block.begin), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            if token_scores:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(block.begin, len(log_p)), pa.int32()), pa.array(log_p)))
+            out.append(pa.Table.from_arrays(columns, names))
         return pa.concat_tables(out)
 
-    plain = answers.where("block is not null").select("block", "part", "kind", "a", "b", "c")
-    return blocks.groupBy("block").cogroup(plain.groupBy("block")).applyInArrow(one, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    known = answers.where("level > 0").select("block", "part", "level", "a", "b", "c")
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + (", token_scores array<double>" if token_scores else "")
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(one, schema)
 
 
 def _sums(answers: DataFrame, n: int) -> list[int]:
-    """Sums over all partitions of what each reports; a row at the end."""
-    row = answers.where(F.col("kind") == _STATS).agg(*(F.sum(F.get("n", F.lit(k))).alias(f"s{k}") for k in range(n))).first()
+    """Sums over all partitions of what each reports; the largest first number at the end."""
+    row = answers.where("level = 0").agg(*(F.sum(F.get("n", F.lit(k))).alias(f"s{k}") for k in range(n)), F.max(F.get("n", F.lit(0))).alias("most")).first()
     return [int(x or 0) for x in row]
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Score every row of ``docs`` with a model of the rows whose crc32 of the id is no multiple of 10."""
+def _hot_contexts(answers: DataFrame, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, divisors, backoff weights) of very frequent contexts, fewer than HOT and the start, summed over all partitions."""
+    x = answers.where("level = 0").select(F.explode("hot").alias("x")).select("x.h", "x.s")
+    each = x.groupBy("h").agg(*(F.sum(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(LARGEST + 2)))
+    rows = each.orderBy("h").collect()
+    sums = np.array([list(r)[1:] for r in rows], float).reshape(-1, LARGEST + 2)
+    divisor, weight = backoff(sums[:, :LARGEST].T, sums[:, LARGEST], sums[:, LARGEST + 1], keep)
+    return np.array([r["h"] for r in rows], np.int64), divisor, weight
+
+
+def score_documents(docs: DataFrame, *, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, token_scores: bool = False) -> DataFrame:
+    """Score every row of ``docs`` with a model of the rows whose crc32 of the id is no multiple of 10.
+
+    order: words of the longest grams, 2 at least.  token_scores: add the log10
+    probability of each token.
+    """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     blocks, _ = store(_blocks(docs, id_col, text_col, block_tokens), "blocks")
-    size = blocks.agg(F.sum(F.size("ids")), F.sum(F.octet_length("tokens"))).first()
-    parts = max(spread(spark), int(size[1] or 0) // PARTITION_TOKENS)
-    of_words, _ = store(_sum_words(_ask_words(blocks, parts), parts), "words")
-    tokens, vocabulary, *n = _sums(of_words, LARGEST + 4)
-    own = Unigrams(tokens, n)
-    release(spark)
-    of_pairs, _ = store(_sum_pairs(_ask_pairs(blocks, of_words, tokens, parts), own), "pairs")
-    keep = discounts(_sums(of_pairs, LARGEST + 2))
-    release(spark)
-    # sums of very frequent contexts, fewer than HOT and the start
-    parts_of_hot = of_pairs.where(F.col("kind") == _STATS).select(F.explode("hot").alias("x"))
-    each = parts_of_hot.groupBy(F.get("x", F.lit(0)).alias("h")).agg(*(F.sum(F.get("x", F.lit(k + 1))).alias(f"s{k}") for k in range(LARGEST + 2)))
-    rows = np.array([list(r) for r in each.orderBy("h").collect()], float).reshape(-1, LARGEST + 3)
-    divisor, weight = backoff(rows[:, 1 : LARGEST + 1].T, rows[:, LARGEST + 1], rows[:, LARGEST + 2], keep)
-    hot = spark.sparkContext.broadcast((rows[:, 0].astype(np.int64), divisor, weight))
-    both = of_words.select("block", "part", "kind", "a", "b", "c").unionByName(of_pairs.select("block", "part", "kind", "a", "b", "c"))
-    return _score(blocks, both, own, vocabulary, keep, hot, parts, kind).withColumnRenamed("id", id_col)
+    size = blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    model = Model(max(spread(spark), int(size) // 2 // PARTITION_TOKENS))  # a token takes about two bytes of a block
+    answers, _ = store(_sum_words(_ask_words(blocks, model.parts), model.parts), "words")
+    _, tokens, model.vocabulary, *n, most = _sums(answers, LARGEST + 5)
+    model.own, model.base = Unigrams(tokens, n), most * model.parts + 2
+    for k in range(2, order + 1):
+        found, _ = store(_sum(_ask(blocks, answers, model, k), model, k), "grams")
+        model.keep[k] = discounts(_sums(found, LARGEST + 2)[:-1])
+        model.hot[k] = spark.sparkContext.broadcast(_hot_contexts(found, model.keep[k]))
+        answers = answers.unionByName(found)
+    return _score(blocks, answers, model, order, kind, token_scores).withColumnRenamed("id", id_col)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, odd_multipliers, release, shingles, store, table, utf8
+from .common import WordHashes, discard, odd_multipliers, shingles, store, table, utf8
 from .components import connected_components
 
 WIDTH = 5
@@ -277,7 +277,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = _buckets(classes, bands, rows)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     members, members_path = store(buckets.join(shared, "bucket").select("bucket", "id", "n", "first"), "members")
-    release(spark)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs, pairs_path = store(pairs.select("a", "b"), "pairs")
@@ -285,7 +284,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         texts, texts_path = store(_texts_of(docs, wanted, id_col, text_col), "texts")
         links, _ = store(_confirm(pairs, texts, threshold, width), "links")
         discard(spark, pairs_path, texts_path)
-        release(spark)
         return links
 
     # each class with the first classes of its buckets; of those with an alike signature, the most alike
@@ -306,7 +304,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(_across(mixed.where(F.col("n") > FEW), lambda wanted: _sets(_texts_of(docs, wanted, id_col, text_col), width), threshold))
     label, _ = store(connected_components(links), "labels")
     discard(spark, members_path, label_path, labelled_path)
-    release(spark)
 
     group = firsts.join(label, F.col("id") == F.col("node"), "left").select(*same, F.coalesce("component", F.col("id").cast("long")).alias("component"))
     known = F.col("n_shingles") > 0
