@@ -22,6 +22,23 @@ def utf8(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+BITS = 1 << 25  #: of a bit table
+
+
+def near(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """``rows`` with a column ``near``: false only if its key (a number) isn't in ``wanted`` (key).
+
+    The keys become a bit table of fixed size, BITS / 64 rows at most, which is
+    broadcast, so that most rows are told apart without a shuffle.  The fuller the
+    table, the more rows are called near; a join with ``wanted`` settles those.
+    """
+    bit = F.pmod(F.xxhash64("key"), F.lit(BITS))
+    words = wanted.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("__bits"))
+    own = rows.withColumn("__bit", F.pmod(F.xxhash64(key), F.lit(BITS))).withColumn("__word", (F.col("__bit") / 64).cast("int"))
+    held = F.coalesce(F.getbit("__bits", (F.col("__bit") % 64).cast("int")) == 1, F.lit(False))
+    return own.join(F.broadcast(words), "__word", "left").select(*rows.columns, held.alias("near"))
+
+
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
