@@ -5,8 +5,15 @@ ragged numpy array of symbols; in each round every sequence applies its
 lowest-ranked adjacent pair, all sequences at once, until none has a pair left.
 The surviving symbols are counted, those outside the vocabulary as their bytes.
 
+No symbol can span two characters that stand side by side in no piece, so
+sequences are cut there first.  A pair whose symbol makes a better pair is
+followed up before later pairs nearby; pairs far from it don't wait, as what it
+sets off reaches no further than the longest piece.
+
 Edge cases: a null or empty text has 0 bytes and 0 tokens; a null ``doc_id``
-stays null; repeated rows are counted each; other columns are ignored.
+stays null; repeated rows are counted each; very long texts and words without a
+space are counted whole; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table, utf8
 
 SPACE = "▁"
-CACHE = 300_000  #: pre-tokens whose counts a worker remembers
+CACHE = 4_000_000  #: characters of the pre-tokens whose counts a worker remembers
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6  #: piece types of the model format
 
 
@@ -116,6 +123,10 @@ class PieceMerger:
         by = np.argsort(np.array(keys, np.int64))
         self.keys, self.ranks, self.made = (np.array(x, np.int64)[by] for x in (keys, ranks, made))
         self.known = set(score)
+        self.longest = max(map(len, score))
+        ids_ = self.ids
+        # characters side by side in a piece
+        self.inside = np.unique(np.array([ids_[a] << 32 | ids_[b] for p in score for a, b in zip(p, p[1:], strict=False) if a in ids_ and b in ids_], np.int64))
         self.none = len(order)
         # pieces of spaces alone, all with the worst rank, join from the left once all else is done
         tied = [p for p, s in score.items() if order[s] == len(order) - 1]
@@ -134,14 +145,21 @@ class PieceMerger:
         ids = self.ids
         flat = [ids.get(c, -1) for w in words for c in w]
         symbols = np.array(flat, np.int64)
-        owner = np.repeat(np.arange(len(words)), lengths)
+        word = np.repeat(np.arange(len(words)), lengths)
+        extra = np.zeros(len(words), np.int64)
         if (symbols < 0).any():  # characters outside the vocabulary take no part in merging
             strange = np.flatnonzero(symbols < 0)
             text = "".join(words)
-            extra = np.bincount(owner[strange], [len(text[i].encode()) for i in strange], len(words)).astype(np.int64)
-        else:
-            extra = np.zeros(len(words), np.int64)
-        total = extra
+            extra = np.bincount(word[strange], [len(text[i].encode()) for i in strange], len(words)).astype(np.int64)
+        if not len(symbols):
+            return extra
+        key = symbols[:-1] << 32 | np.maximum(symbols[1:], 0)
+        at = np.minimum(np.searchsorted(self.inside, key), len(self.inside) - 1)
+        apart = (self.inside[at] != key) | (symbols[:-1] < 0) | (symbols[1:] < 0) | (word[1:] != word[:-1])
+        owner = np.cumsum(np.append(False, apart))
+        word = word[np.flatnonzero(np.append(True, apart))]  # of each sequence
+        size = np.ones(len(symbols), np.int64)
+        total = np.zeros(len(word), np.int64)
         while len(symbols):
             same = np.append(owner[1:] == owner[:-1], False)
             rank, made = self._pairs(symbols, np.append(symbols[1:], -1))
@@ -165,9 +183,9 @@ class PieceMerger:
                         cost[space] = 0
                         longest = len(self.run_cost)
                         cost[at] = self.run_cost[(run - 1) % longest] + (run - 1) // longest
-                total += np.bincount(whose, cost, len(words)).astype(np.int64)
+                total += np.bincount(whose, cost, len(total)).astype(np.int64)
                 keep = ~out
-                symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
+                symbols, owner, rank, made, size = symbols[keep], owner[keep], rank[keep], made[keep], size[keep]
                 best, sizes = best[~done], sizes[~done]
                 if not len(symbols):
                     break
@@ -191,15 +209,16 @@ class PieceMerger:
             previous = np.where(joined, np.append(-1, new[:-1]), previous)
             risky = np.minimum(self._pairs(new, follows)[0], self._pairs(previous, new)[0]) <= rank[where]
             if risky.any():
-                unsafe = np.isin(seq_of, seq_of[risky])
-                leftmost = np.append(True, seq_of[1:] != seq_of[:-1])
-                stay = ~unsafe | leftmost
-                where, new = where[stay], new[stay]
+                place = (np.cumsum(size) - size)[where]
+                last = np.append(-1, np.maximum.accumulate(np.where(risky, np.arange(len(where)), -1))[:-1])
+                wait = (last >= 0) & (seq_of[last] == seq_of) & (place - place[last] <= 4 * self.longest)
+                where, new = where[~wait], new[~wait]
             symbols[where] = new
+            size[where] += size[where + 1]
             keep = np.ones(len(symbols), bool)
             keep[where + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
-        return total
+            symbols, owner, size = symbols[keep], owner[keep], size[keep]
+        return extra + np.bincount(word, total, len(words)).astype(np.int64)
 
 
 class TextCounter:
@@ -208,7 +227,7 @@ class TextCounter:
     RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def __init__(self, merger: PieceMerger):
-        self.merger, self.seen = merger, {}
+        self.merger, self.seen, self.held = merger, {}, 0
 
     def __call__(self, texts: list[bytes]) -> list[int]:
         split = []
@@ -217,9 +236,10 @@ class TextCounter:
             # every pre-token begins with a space, which its key leaves out
             split.append([] if text == SPACE else text[1:].split(SPACE) if SPACE * 2 not in text else [x[1:] for x in self.RUNS.findall(text)])
         words = set().union(*split) if split else set()
-        if len(self.seen) > CACHE:
-            self.seen = {}
+        if self.held > CACHE:
+            self.seen, self.held = {}, 0
         if missing := [w for w in words if w not in self.seen]:
+            self.held += sum(map(len, missing))
             for k in range(0, len(missing), 50_000):
                 part = missing[k : k + 50_000]
                 self.seen.update(zip(part, self.merger.count([SPACE + w for w in part]).tolist(), strict=True))
