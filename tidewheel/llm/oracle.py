@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import DEPLETED, DISTINCT_SHARE, LINE_LIMIT, LINE_SHARE, MIN_WORDS, REPEAT_PERCENT, WINDOW
+from .quality_rules import DEPLETED, LINE_LIMIT, LINE_SHARE, MIN_WORDS, REPEAT_PERCENT, WINDOW
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -31,16 +31,17 @@ WITH docs AS (
   FROM (SELECT r, host, lower(trim(regexp_replace(x, '[ \t\x0B\f\r]+', ' ', 'g'))) AS line, len(list_filter(regexp_split_to_array(x, '{_SPACE}+'), lambda y: y <> '')) AS n
         FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS x FROM docs))
   WHERE line <> ''
-), lowest AS (
-  SELECT r, list_sort(list_distinct(list(line))) AS low, sum(n) AS all_words FROM lines GROUP BY r
-), rested AS (
-  SELECT l.*, all_words, CASE WHEN line = low[1] THEN coalesce(low[2], '') ELSE low[1] END AS rest FROM lines l JOIN lowest o ON o.r = l.r
+), sets AS (
+  SELECT r, string_agg(line, ' ' ORDER BY line) AS held_lines, sum(n) AS all_words FROM (SELECT r, line, min(n) AS n FROM lines GROUP BY r, line) GROUP BY r
+), hosts AS (
+  SELECT host, count(*) AS host_docs FROM docs GROUP BY host
 ), frequent AS (
-  SELECT f.host, line FROM (SELECT host, line, count(*) AS n, count(DISTINCT rest) AS n_docs FROM rested GROUP BY ALL) f
-  JOIN (SELECT host, count(*) AS host_docs FROM docs GROUP BY host) h ON h.host = f.host
-  WHERE n_docs > {LINE_LIMIT} AND n_docs >= n * {DISTINCT_SHARE}::DOUBLE AND n_docs > host_docs * {LINE_SHARE}::DOUBLE
+  SELECT l.host, l.line FROM lines l JOIN sets s ON s.r = l.r JOIN hosts h ON h.host = l.host
+  GROUP BY l.host, l.line, h.host_docs
+  HAVING count(DISTINCT s.held_lines) > {LINE_LIMIT} AND count(DISTINCT s.held_lines) > h.host_docs * {LINE_SHARE}::DOUBLE
 ), gone AS (
-  SELECT r FROM rested JOIN frequent USING (host, line) GROUP BY r HAVING sum(n) >= max(all_words) * {DEPLETED}::DOUBLE
+  SELECT l.r FROM lines l JOIN frequent f ON f.host = l.host AND f.line = l.line JOIN sets s ON s.r = l.r
+  GROUP BY l.r, s.all_words HAVING sum(l.n) >= s.all_words * {DEPLETED}::DOUBLE
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,

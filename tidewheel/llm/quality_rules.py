@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import discard, near, store, table
 
 SPACES = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -31,7 +31,6 @@ WINDOW = 8
 MIN_WORDS, REPEAT_PERCENT = 20, 30
 LINE_LIMIT = 20  #: documents of a host that may hold a line
 LINE_SHARE = 0.001  #: or this share of the host's documents, if that is more
-DISTINCT_SHARE = 0.5  #: of the SQL alone, which counts documents by the smallest hash of their other lines
 DEPLETED = 0.8  #: a document loses this share of its words in frequent lines, or more: rejected
 
 
@@ -143,30 +142,39 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules don't reject."""
-    gone = _depleted_documents(docs, id_col, text_col, host_col)
-    m = _passing(docs, id_col, text_col, host_col)
-    return m.join(gone, _same(m, gone), "left_anti").select("row.*")
+    """The rows of ``docs``, all columns, that the rules don't reject, with their texts as they are; see :func:`clean`."""
+    gone, _ = store(_depleted_documents(docs, id_col, text_col, host_col), "depleted")
+    rest, asked = _told_apart(docs, gone, id_col, text_col, host_col)
+    return rest.select("row.*").unionByName(asked.join(gone, _same(asked, gone), "left_anti").select("row.*"))
 
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The rows that :func:`keep` keeps, without frequent lines in their texts; ``chars_col``, where there is one, follows."""
     keyed = _keyed(docs, id_col, text_col, host_col)
-    lines, _ = store(_lines(keyed), "lines")
-    found = held_lines(lines, frequent_lines(lines, keyed))
-    m = _passing(docs, id_col, text_col, host_col)
-    out = m.join(found, _same(m, found), "left").where(~F.coalesce(F.col("depleted"), F.lit(False))).select("row.*", "held")
-    out = out.withColumn(text_col, without_lines(F.col(text_col), F.col("held")))
+    lines, path = store(_lines(keyed), "lines")
+    found, _ = store(held_lines(lines, frequent_lines(lines, keyed)), "held")
+    discard(docs.sparkSession, path)
+    rest, asked = _told_apart(docs, found, id_col, text_col, host_col)
+    out = asked.join(found, _same(asked, found), "left").where(~F.coalesce(F.col("depleted"), F.lit(False)))
+    text = F.col("row").getField(text_col)
+    new = {text_col: without_lines(text, F.col("held"))}
     if chars_col in docs.columns:
-        chars = F.length(text_col).cast(docs.schema[chars_col].dataType)
-        out = out.withColumn(chars_col, F.when(F.col("held").isNull(), F.col(chars_col)).otherwise(chars))
-    return out.select(*docs.columns)
+        chars = F.length(new[text_col]).cast(docs.schema[chars_col].dataType)
+        new[chars_col] = F.when(F.col("held").isNull(), F.col("row").getField(chars_col)).otherwise(chars)
+    out = out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return rest.select("row.*").unionByName(out)
+
+
+def _told_apart(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, DataFrame]:
+    """(row, own, text_key, host) of the rows that pass the base rules: those that are not in ``found``, and those to be joined with it."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    key = F.xxhash64("own", F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce("host", F.lit("")))
+    marked = near(rows, key, found.select(F.xxhash64("id", "text_key", "host").alias("key")))
+    return _passing(marked.where(~F.col("near"))), _passing(marked.where("near"))
 
 
-def _passing(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """(row, own, text_key, host) of the rows that pass the base rules."""
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col), F.col(text_col), F.col(host_col))
-    m = measures(whole.withColumn("pair", F.struct(F.col(id_col).alias("own"), "row")), id_col="pair", text_col=text_col, host_col=host_col)
+def _passing(rows: DataFrame) -> DataFrame:
+    m = measures(rows.withColumn("pair", F.struct("own", "row")), id_col="pair", text_col="text", host_col="host")
     return m.where(~base_failed()).select("id.row", F.col("id.own").alias("own"), "text_key", "host")
 
 
