@@ -106,7 +106,7 @@ def test_pipeline_against_brute_force(spark, small):
     bench = [tokens(r["text"].encode()) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     verdict = {r["doc_id"]: r["kept"] for r in quality_rules.op8(spark, small).collect()}
     kept = [(i, t) for i, t, _ in docs if verdict[i]]
-    first = groups(kept)
+    first = groups(kept, threshold=80)
     kept = [(i, t) for i, t in kept if first[i][1] == i]
 
     def leaks(text):

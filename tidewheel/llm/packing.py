@@ -198,16 +198,17 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (id, start, length, ...) with ``sequence_id`` and ``offset``."""
     spark = pieces.sparkSession
     parts = spread(spark)
-    # equal rows may take each other's places: they hold the same
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(parts)))
+    # equal rows may take each other's places, as they hold the same; a column "deal" tells them apart for dealing out
+    key = ["id", "start", "ids_crc32", *(["deal"] if "deal" in pieces.columns else [])]
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64(*key), F.lit(parts)))
     counts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most one row for each length up to the capacity
     slots = spark.sparkContext.broadcast(_slots(pack_histogram(histogram, capacity)))
-    row = F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "start", "ids_crc32"))
+    row = F.row_number().over(Window.partitionBy("length", "part").orderBy(*key))
     ranked = dealt.withColumn("row", row).join(bases, ["length", "part"])
-    columns = pieces.columns
+    columns = [c for c in pieces.columns if c != "deal"]
     ranked = ranked.select(*columns, (F.col("base") + F.col("row") - 1).cast("long").alias("rank"))
 
     def run(batches):
@@ -218,13 +219,14 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             out = batch.select(columns)
             yield out.append_column("sequence_id", pa.array(s["sequence"][at] + rank - s["rank"][at])).append_column("offset", pa.array(s["offset"][at]))
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "deal")
     return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every piece of every document with its place in the packed sequences."""
-    pieces, _ = store(pieces_of(docs, vocabulary_path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id), "pieces")
+    pieces = pieces_of(docs, vocabulary_path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id)
+    pieces, _ = store(pieces.withColumn("deal", F.monotonically_increasing_id()), "pieces")
     return pack(pieces, capacity=capacity).withColumnRenamed("id", id_col)
 
 
