@@ -64,6 +64,23 @@ def kv_fold_sum(spark, d):
     return keyed.fold(_events(spark, d), F.sum).withColumn("value", F.round("value", 4))
 
 
+@query("SELECT user_id AS key, bit_xor(event_id) AS value FROM events GROUP BY user_id")
+def kv_fold_custom(spark, d):
+    """A fold by a function of the user's."""
+    return keyed.fold_with(_t(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("value")), lambda a, b: a ^ b)
+
+
+@query("SELECT user_id AS key, round(product(1 + abs(value) / 1000), 6) AS value FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def kv_fold_product(spark, d):
+    deltas = _events(spark, d).select("key", (1 + F.abs("value") / 1000).alias("value"))
+    return keyed.fold(deltas, F.product).withColumn("value", F.round("value", 6))
+
+
+@query(f"SELECT word, row_number() OVER (ORDER BY word) - 1 AS index FROM (SELECT DISTINCT word FROM ({_WORDS}) WHERE word <> '')")
+def vocabulary(spark, d):
+    return words.vocabulary(words.word_counts(_t(spark, d, "documents"), "text"))
+
+
 @query("SELECT user_id AS key, max(value) AS value FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def kv_fold_max(spark, d):
     return keyed.fold(_events(spark, d), F.max)
@@ -76,7 +93,8 @@ def kv_argmin(spark, d):
 
 @query("SELECT user_id AS key, string_agg(event_type, '|' ORDER BY event_type) AS kinds FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def kv_concat(spark, d):
-    return _events(spark, d).groupBy("key").agg(F.array_join(F.sort_array(F.collect_list("event_type")), "|").alias("kinds"))
+    lists = keyed.concat_lists(_events(spark, d).select("key", F.array("event_type").alias("value")))
+    return lists.select("key", F.array_join("value", "|").alias("kinds"))
 
 
 @query("""
@@ -303,6 +321,16 @@ def pagerank(spark, d):
     return graph.pagerank(_trade(spark, d), 5).withColumn("rank", F.round("rank", 6))
 
 
+_PURCHASES = f"g AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT 2 * src AS src, 2 * dst + 1 AS dst FROM ({_CELLS}) UNION ALL SELECT 2 * dst + 1, 2 * src FROM ({_CELLS})))"
+
+
+@query(_rank_sql(_PURCHASES, 3))
+def pagerank_purchases(spark, d):
+    """Over customers and the parts they bought, each linked with the other."""
+    cells = _cells(spark, d).select((2 * F.col("src")).alias("src"), (2 * F.col("dst") + 1).alias("dst")).distinct()
+    return graph.pagerank(cells.unionByName(graph.reverse(cells)), 3).withColumn("rank", F.round("rank", 6))
+
+
 _OPEN = "few AS (SELECT src, dst FROM trade WHERE src < 20), g AS (SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM few UNION SELECT dst, 2147483648 FROM few WHERE dst NOT IN (SELECT src FROM few))"
 
 
@@ -322,6 +350,22 @@ def topological_levels(spark, d):
     return graph.topological_levels(_trade(spark, d).where("src < dst"))
 
 
+@query(f"WITH RECURSIVE {_TRADE}, up AS (SELECT src, dst FROM trade WHERE src < dst), walk(id, level) AS (SELECT src, 0 FROM up UNION SELECT dst, 0 FROM up UNION SELECT u.dst, level + 1 FROM walk JOIN up u ON u.src = id), l AS (SELECT id, max(level) AS level FROM walk GROUP BY id) SELECT id, row_number() OVER (ORDER BY level, id) - 1 AS position FROM l")
+def topological_order(spark, d):
+    return graph.topological_order(_trade(spark, d).where("src < dst"))
+
+
+@query(f"WITH RECURSIVE {_ALIKE}, {_BOTH}, reach(id, other) AS (SELECT DISTINCT src, src FROM links UNION SELECT r.id, l.dst FROM reach r JOIN links l ON l.src = r.other) SELECT id, dense_rank() OVER (ORDER BY component) - 1 AS number FROM (SELECT id, min(other) AS component FROM reach GROUP BY id)")
+def component_numbers(spark, d):
+    return graph.component_numbers(graph.connected_components(_alike(spark, d)))
+
+
+@query(f"WITH RECURSIVE {_TRADE}, reach(id) AS (SELECT min(src) FROM trade UNION SELECT t.dst FROM reach r JOIN trade t ON t.src = r.id) SELECT id FROM reach")
+def reachable(spark, d):
+    e = _trade(spark, d)
+    return graph.reachable(e, e.agg(F.min("src")).first()[0])
+
+
 # ---- similarity
 
 
@@ -397,6 +441,16 @@ def mips_topk(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(f"""
+WITH q AS (SELECT {_E} AS q FROM embeddings WHERE vec_id = 1)
+SELECT vec_id AS id, round(array_inner_product({_E}, q), 6) AS score FROM embeddings, q ORDER BY round(array_inner_product({_E}, q), 9) DESC, vec_id LIMIT 10
+""")
+def mips_balls(spark, d):
+    e = _vectors(spark, d)
+    q = [float(x) for x in e.where("id = 1").first()["features"]]
+    return similarity.BallIndex.build(e, 16).search(q, 10).withColumn("score", F.round("score", 6))
+
+
 # ---- learners
 
 
@@ -420,20 +474,68 @@ def kmeans_centers(spark, d):
     return spark.createDataFrame(rows, "cluster long, pos long, x double").withColumn("x", F.round("x", 6))
 
 
-def _labelled(spark, d, width: int = 4):
-    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, width).alias("features"), (F.col("label") == 0).cast("double").alias("label"))
+@query(_kmeans_sql(2, "SELECT c AS cluster, list(id ORDER BY id) AS ids FROM a1 GROUP BY c"))
+def kmeans_groups(spark, d):
+    return learning.members(learning.kmeans(_vectors(spark, d), 10, 2)[0], parts=1).select("cluster", "ids")
+
+
+@query(_kmeans_sql(2, "SELECT a.c AS cluster, count(*) AS n, round(max(list_distance(a.v, k.v)), 6) AS radius FROM a1 a JOIN c2 k ON k.c = a.c GROUP BY a.c"))
+def kmeans_radii(spark, d):
+    e = _vectors(spark, d)
+    return learning.radii(e, *learning.kmeans(e, 10, 2)).withColumn("radius", F.round("radius", 6))
+
+
+def _labelled(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"), (F.col("label") == 0).cast("double").alias("label"))
+
+
+_LABELLED = "e AS MATERIALIZED (SELECT vec_id AS id, list_prepend(1.0::DOUBLE, embedding::DOUBLE[]) AS x, CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM embeddings)"
+_ZEROS = "SELECT list_transform(range(65), lambda j: 0.0::DOUBLE) AS t"
+_RATE, _DECAY = "0.002::DOUBLE", "0.0004::DOUBLE"  # alpha, and 2 alpha beta
 
 
-_LABELLED = "e AS (SELECT embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, embedding[3]::DOUBLE AS x3, embedding[4]::DOUBLE AS x4, CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM embeddings)"
+def _weights_sql(table: str) -> str:
+    return f"SELECT pos - 1 AS pos, round(w, 6) AS weight FROM (SELECT generate_subscripts(t, 1) AS pos, unnest(t) AS w FROM {table})"
 
 
 def _descent_sql(n: int) -> str:
-    out = [f"WITH {_LABELLED}, t0 AS (SELECT {', '.join(f'0.0::DOUBLE AS w{j}' for j in range(5))})"]
+    out = [f"WITH {_LABELLED}, t0 AS ({_ZEROS})"]
     for k in range(n):
-        h = "1 / (1 + exp(-(w0 + x1 * w1 + x2 * w2 + x3 * w3 + x4 * w4)))"
-        sums = ", ".join(f"any_value(w{j}) + 0.002::DOUBLE * sum((y - {h})" + (f" * x{j}" if j else "") + f") - 2 * 0.002::DOUBLE * 0.1::DOUBLE * count(*) * any_value(w{j}) AS w{j}" for j in range(5))
-        out.append(f"t{k + 1} AS (SELECT {sums} FROM e, t{k})")
-    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT {j}::BIGINT AS pos, round(w{j}, 6) AS weight FROM t{n}" for j in range(5))
+        out.append(f"g{k} AS MATERIALIZED (SELECT pos, sum(err * v) AS g, count(*) AS n FROM (SELECT err, generate_subscripts(x, 1) AS pos, unnest(x) AS v FROM (SELECT x, y - 1 / (1 + exp(-list_inner_product(x, t))) AS err FROM e, t{k})) GROUP BY pos)")
+        out.append(f"t{k + 1} AS MATERIALIZED (SELECT list(t[pos] + {_RATE} * g - {_DECAY} * n * t[pos] ORDER BY pos) AS t FROM g{k}, t{k})")
+    return ", ".join(out) + " " + _weights_sql(f"t{n}")
+
+
+def _mixing_sql(rounds: int, shards: int, *, logistic: bool, batches: int = 1, mean: bool = True) -> str:
+    """Descent row by row on each shard, the changes put together: one recursive walk for each meeting."""
+    out = [f"WITH RECURSIVE {_LABELLED}, r AS MATERIALIZED (SELECT id % {shards} AS shard, (id // {shards}) % {batches} AS batch, row_number() OVER (PARTITION BY id % {shards}, (id // {shards}) % {batches} ORDER BY id) AS i, x, y FROM e), t0 AS MATERIALIZED ({_ZEROS})"]
+    k = 0
+    for _ in range(rounds):
+        for b in range(batches):
+            a = "list_inner_product(s.t, r.x)"
+            h = f"1 / (1 + exp(-{a}))" if logistic else a
+            step = f"SELECT s.shard, s.i + 1 AS i, s.t AS t, r.x AS x, r.y - {h} AS err FROM s{k} s JOIN r ON r.shard = s.shard AND r.batch = {b} AND r.i = s.i + 1"
+            out.append(f"s{k}(shard, i, t) AS (SELECT DISTINCT shard, 0::BIGINT, t FROM r, t{k} WHERE batch = {b} UNION ALL SELECT shard, i, list_transform(range(1, 66), lambda j: t[j] + {_RATE} * err * x[j] - {_DECAY} * t[j]) FROM ({step}))")
+            moved = f"SELECT pos, {'avg' if mean else 'sum'}(v - u) AS m, any_value(u) AS u FROM (SELECT generate_subscripts(l.t, 1) AS pos, unnest(l.t) AS v, unnest(t{k}.t) AS u FROM (SELECT arg_max(t, i) AS t FROM s{k} GROUP BY shard) l, t{k}) GROUP BY pos"
+            out.append(f"t{k + 1} AS MATERIALIZED (SELECT list(u + m ORDER BY pos) AS t FROM ({moved}))")
+            k += 1
+    return ", ".join(out) + " " + _weights_sql(f"t{k}")
+
+
+def _coordinates_sql(n: int, step: str, data: str) -> str:
+    """Coordinate steps over doubled weights; ``step`` is the change of weight k + 1, with v = w+ - w-, place and sign."""
+    now = "SELECT t, w, t % 128 AS k, t % 64 + 1 AS place, CASE WHEN t % 128 < 64 THEN 1 ELSE -1 END AS sign, list_transform(range(1, 65), lambda j: w[j] - w[j + 64]) AS v FROM s WHERE t < " + str(n)
+    return f"""
+WITH RECURSIVE {_LABELLED}, {data}, s(t, w) AS (SELECT 0, list_transform(range(128), lambda j: 0.0::DOUBLE) UNION ALL
+  SELECT t + 1, list_transform(range(1, 129), lambda j: CASE WHEN j = k + 1 THEN w[j] + greatest(-w[j], c) ELSE w[j] END) FROM (SELECT *, {step} AS c FROM ({now}), d))
+SELECT p - 1 AS pos, round(w[p] - w[p + 64], 6) AS weight FROM s, range(1, 65) u(p) WHERE t = {n}"""
+
+
+_GRAM = """
+x AS (SELECT id, y, generate_subscripts(f, 1) AS i, unnest(f) AS v FROM (SELECT id, y, x[2:65] AS f FROM e)),
+d AS MATERIALIZED (SELECT (SELECT list(g ORDER BY i) FROM (SELECT i, list(g ORDER BY j) AS g FROM (SELECT a.i, b.i AS j, sum(a.v * b.v) AS g FROM x a JOIN x b USING (id) GROUP BY ALL) GROUP BY i)) AS xx,
+  (SELECT list(g ORDER BY i) FROM (SELECT i, sum(v * y) AS g FROM x GROUP BY i)) AS xy, (SELECT count(*) FROM e) AS n)"""
+_LISTS = "d AS MATERIALIZED (SELECT list(x[2:65] ORDER BY id) AS xs, list(CASE WHEN y = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY id) AS ys, count(*) AS n FROM e)"
 
 
 def _weights(spark, theta):
@@ -445,47 +547,53 @@ def logreg_dgd(spark, d):
     return _weights(spark, learning.logistic_gradient_descent(_labelled(spark, d), 3))
 
 
-_THETA = [-1.5, 0.5, -0.25, 0.75, 0.1]
+_THETA = [(j * 7 % 11 - 5) / 20 for j in range(65)]
+_THETA_SQL = "(SELECT list_transform(range(65), lambda j: (j * 7 % 11 - 5) / 20.0::DOUBLE) AS t)"
 
 
-@query(f"WITH {_LABELLED}, p AS (SELECT y, 1 / (1 + exp(-(-1.5::DOUBLE + x1 * 0.5::DOUBLE + x2 * -0.25::DOUBLE + x3 * 0.75::DOUBLE + x4 * 0.1::DOUBLE))) AS h FROM e) SELECT round(avg(CASE WHEN y = 1 THEN -ln(h) ELSE -ln(1 - h) END), 6) AS loss FROM p")
+@query(f"WITH {_LABELLED}, p AS (SELECT y, 1 / (1 + exp(-list_inner_product(x, t))) AS h FROM e, {_THETA_SQL}) SELECT round(avg(CASE WHEN y = 1 THEN -ln(h) ELSE -ln(1 - h) END), 6) AS loss FROM p")
 def logreg_loss(spark, d):
     return learning.logistic_loss(_labelled(spark, d), _THETA).withColumn("loss", F.round("loss", 6))
 
 
-@query(f"WITH {_LABELLED} SELECT round(avg(pow(-1.5::DOUBLE + x1 * 0.5::DOUBLE + x2 * -0.25::DOUBLE + x3 * 0.75::DOUBLE + x4 * 0.1::DOUBLE - y, 2)), 6) AS loss FROM e")
+@query(f"WITH {_LABELLED} SELECT id, label, round(1 / (1 + exp(-list_inner_product(x, t))), 6) AS prediction FROM (SELECT id, x, y AS label FROM e), {_THETA_SQL}")
+def logreg_predict(spark, d):
+    return learning.logistic_predictions(_labelled(spark, d), _THETA).select("id", "label", F.round("prediction", 6).alias("prediction"))
+
+
+@query(f"WITH {_LABELLED} SELECT round(avg(pow(list_inner_product(x, t) - y, 2)), 6) AS loss FROM e, {_THETA_SQL}")
 def ridge_loss(spark, d):
     return learning.squared_loss(_labelled(spark, d), _THETA).withColumn("loss", F.round("loss", 6))
 
 
-@query()
+@query(_mixing_sql(2, 4, logistic=True))
 def logreg_ipm(spark, d):
     return _weights(spark, learning.logistic_mixing(_labelled(spark, d), 2))
 
 
-@query()
+@query(_mixing_sql(1, 4, logistic=True, batches=8, mean=False))
 def logreg_downpour(spark, d):
     return _weights(spark, learning.logistic_downpour(_labelled(spark, d), 1))
 
 
-@query()
+@query(_mixing_sql(1, 1, logistic=True))
 def logreg_agd(spark, d):
     return _weights(spark, learning.logistic_sequential(_labelled(spark, d), 1))
 
 
-@query()
+@query(_mixing_sql(2, 4, logistic=False))
 def ridge_ipm(spark, d):
     return _weights(spark, learning.ridge_mixing(_labelled(spark, d), 2))
 
 
-@query()
+@query(_coordinates_sql(200, "-(0.5::DOUBLE + sign * (list_inner_product(xx[place], v) - xy[place])) / n", _GRAM))
 def lasso_cd(spark, d):
     return _weights(spark, learning.lasso(_labelled(spark, d), 0.5, 200))
 
 
-@query()
+@query(_coordinates_sql(128, "-4 * (0.5::DOUBLE + sign * list_sum(list_transform(range(1, n + 1), lambda i: -ys[i] / (1 + exp(ys[i] * list_inner_product(xs[i], v))) * xs[i][place]))) / n", _LISTS))
 def logreg_l1_cd(spark, d):
-    return _weights(spark, learning.logistic_l1(_labelled(spark, d), 0.5, 24))
+    return _weights(spark, learning.logistic_l1(_labelled(spark, d), 0.5, 128))
 
 
 @query("SELECT i - 1 AS i, j - 1 AS j, round(sum(x * y), 4) AS v FROM (SELECT e, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM (SELECT embedding::DOUBLE[] AS e FROM embeddings)), LATERAL (SELECT generate_subscripts(e, 1) AS j, unnest(e) AS y) GROUP BY ALL")
@@ -500,6 +608,21 @@ def svd_singular_values(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k long, value double").withColumn("value", F.round("value", 6))
 
 
+@query("""
+WITH x AS (SELECT vec_id, generate_subscripts(e, 1) AS i, unnest(e) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+g1 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM x a JOIN x b USING (vec_id) GROUP BY ALL), g2 AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g1 a JOIN g1 b ON b.i = a.j GROUP BY ALL),
+n AS (SELECT count(*)::DOUBLE AS n FROM embeddings)
+SELECT power, round(total / pow((SELECT n FROM n), power), 9) AS total FROM (
+  SELECT 1 AS power, sum(v) FILTER (i = j) AS total FROM g1 UNION ALL SELECT 2, sum(v * v) FROM g1
+  UNION ALL SELECT 3, sum(a.v * b.v) FROM g1 a JOIN g2 b ON b.i = a.i AND b.j = a.j UNION ALL SELECT 4, sum(v * v) FROM g2)
+""")
+def svd_power_sums(spark, d):
+    """Sums of even powers of all singular values, which are traces of powers of the products of columns."""
+    rows = _vectors(spark, d)
+    values, n = factors.singular_values(rows, 64)[0], rows.count()
+    return spark.createDataFrame([(p, round(float((values**2 / max(n, 1)) @ (values**2 / max(n, 1)) ** (p - 1)), 9)) for p in range(1, 5)], "power int, total double")
+
+
 @query(f"WITH c AS (SELECT src AS i, dst AS m, sum(w) AS x FROM ({_CELLS}) GROUP BY ALL), h AS (SELECT p_partkey AS m, k AS j, (p_partkey * (k + 1) % 7)::DOUBLE AS y FROM part, range(3) r(k)) SELECT i, j, sum(x * y) AS v FROM c JOIN h USING (m) GROUP BY i, j")
 def matrix_multiply(spark, d):
     a = _cells(spark, d).groupBy(F.col("src").alias("i"), F.col("dst").alias("j")).agg(F.sum("w").alias("v"))
@@ -583,12 +706,12 @@ def als_validate(spark, d):
 
 
 def _tree(spark, d):
-    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     return e.where("id % 10 <> 0"), e.where("id % 10 = 0")
 
 
 @query("""
-WITH e AS (SELECT vec_id AS id, embedding[1:8]::DOUBLE[] AS v FROM embeddings), u AS (SELECT * FROM e WHERE id % 10 <> 0), t AS (SELECT * FROM e WHERE id % 10 = 0),
+WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT * FROM e WHERE id % 10 <> 0), t AS (SELECT * FROM e WHERE id % 10 = 0),
 s AS (SELECT t.id AS item, u.id AS uid, u.v, list_inner_product(u.v, t.v) >= 0 AS likes FROM u, t),
 p AS (SELECT item, likes, uid, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM s),
 m AS (SELECT item, likes, pos, sum(x * x) - sum(x) * sum(x) / count(*) AS err, count(*) AS n FROM p GROUP BY ALL),
@@ -601,10 +724,24 @@ def dtree_root_splits(spark, d):
     return found.select("item", "likes", "hates", F.round("error", 6).alias("error"))
 
 
-@query()
+def _tree_sql(levels: int) -> str:
+    out = ["WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), t AS MATERIALIZED (SELECT * FROM e WHERE id % 10 = 0), u1 AS MATERIALIZED (SELECT * FROM e WHERE id % 10 <> 0)"]
+    for n in range(1, 1 << levels):
+        if n > 1:
+            out.append(f"u{n} AS MATERIALIZED (SELECT u.* FROM u{n // 2} u, k{n // 2} k JOIN t ON t.id = k.item WHERE (list_inner_product(u.v, t.v) >= 0) = {'false' if n % 2 else 'true'})")
+        used = " UNION ALL ".join(f"SELECT item FROM k{m}" for m in range(1, n)) or "SELECT -1"
+        out.append(f"""m{n} AS (SELECT item, likes, sum(x * x) - sum(x) * sum(x) / count(*) AS err, count(*) AS n FROM (SELECT item, likes, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM (SELECT t.id AS item, u.v, list_inner_product(u.v, t.v) >= 0 AS likes FROM u{n} u, t)) GROUP BY item, likes, pos),
+g{n} AS (SELECT item, coalesce(max(n) FILTER (likes), 0) AS l, coalesce(max(n) FILTER (NOT likes), 0) AS h, round(sum(err), 9) AS error FROM m{n} GROUP BY item),
+k{n} AS MATERIALIZED (SELECT item FROM g{n} WHERE least(l, h) > 0 AND greatest(l, h) // least(l, h) < 3 AND item NOT IN ({used}) ORDER BY error, item LIMIT 1)""")
+    rows = " UNION ALL ".join(f"SELECT {n}::BIGINT AS node, (SELECT item FROM k{n}) AS item, (SELECT count(*) FROM u{n}) AS n_users, p AS pos, coalesce((SELECT avg(v[p + 1]) FROM u{n}), 0) AS mean FROM range(64) r(p)" for n in range(1, 1 << levels))
+    return ", ".join(out) + f" SELECT node, item, n_users, pos, round(mean, 6) AS mean FROM ({rows})"
+
+
+@query(_tree_sql(3))
 def dtree_rec(spark, d):
     users, items = _tree(spark, d)
-    return trees.build(users, items, 3).withColumn("mean", F.transform("mean", lambda x: F.round(x, 6)))
+    built = trees.build(users, items, 3).select("node", "item", "n_users", F.posexplode("mean").alias("pos", "mean"))
+    return built.select("node", "item", "n_users", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
 
 
 @query()
@@ -613,7 +750,21 @@ def lda_gibbs(spark, d):
     return topics.topic_words(state, 0.01, 10).withColumn("phi", F.round("phi", 9))
 
 
-@query()
+def _steady_sql(rounds: int) -> str:
+    out = [f"WITH RECURSIVE {_TRADE}, a AS MATERIALIZED (SELECT src AS i, dst AS j, w / (SELECT sum(w) FROM trade) AS a FROM trade), l AS MATERIALIZED (SELECT i, sum(a) AS p FROM a GROUP BY i), r AS MATERIALIZED (SELECT j, sum(a) AS p FROM a GROUP BY j), x0 AS MATERIALIZED (SELECT j, p AS x FROM r)"]
+    for k in range(rounds):
+        out.append(f"""f{k} AS MATERIALIZED (SELECT i, j, l.p, a, a * x AS flow, sum(a * x) OVER (PARTITION BY i) AS total FROM a JOIN x{k} USING (j) JOIN l USING (i)),
+q{k} AS MATERIALIZED (SELECT j, r.p * 0.99995::DOUBLE AS aim FROM (SELECT j, sum(p * flow / total) AS q FROM f{k} GROUP BY j) JOIN r USING (j) WHERE q <> 0 AND q < r.p * 0.9999::DOUBLE),
+h{k} AS MATERIALIZED (SELECT j, any_value(aim) AS aim, list(p * a ORDER BY i) AS c, list(a ORDER BY i) AS a, list(total - flow ORDER BY i) AS rest FROM f{k} JOIN q{k} USING (j) GROUP BY j),
+n{k}(j, n, x, done) AS (SELECT j, 0, x, false FROM x{k} JOIN h{k} USING (j) UNION ALL
+  SELECT j, n + 1, CASE WHEN abs(f) <= 1e-10::DOUBLE OR s = 0 THEN x ELSE x - f / s END, abs(f) <= 1e-10::DOUBLE OR s = 0 FROM (
+    SELECT z.j, n, x, list_sum(list_transform(range(1, len(c) + 1), lambda i: c[i] * x / (a[i] * x + rest[i]))) - aim AS f, list_sum(list_transform(range(1, len(c) + 1), lambda i: c[i] * rest[i] / pow(a[i] * x + rest[i], 2))) AS s
+    FROM n{k} z JOIN h{k} USING (j) WHERE NOT done AND n < 100)),
+x{k + 1} AS MATERIALIZED (SELECT x{k}.j, coalesce(m.x, x{k}.x) AS x FROM x{k} LEFT JOIN (SELECT j, arg_max(x, n) AS x FROM n{k} GROUP BY j) m ON m.j = x{k}.j)""")
+    return ", ".join(out) + f" SELECT j, round(x, 6) AS score FROM x{rounds}"
+
+
+@query(_steady_sql(5))
 def steady_state(spark, d):
     e = _trade(spark, d)
     total = e.agg(F.sum("w").alias("total"))

@@ -62,3 +62,23 @@ def rmse(error: Column) -> Column:
 def add(a: Column, b: Column) -> Column:
     """Element by element, over the length of ``a``."""
     return F.transform(a, lambda x, i: x + F.coalesce(F.get(b, i), F.lit(0.0)))
+
+
+def increment(old: Column, delta: Column) -> Column:
+    """(ok, value): the element-wise sum; not ok, and ``old`` as it is, where it is absent or of another size."""
+    ok = F.coalesce(F.size(old) == F.size(delta), F.lit(False)) & old.isNotNull() & delta.isNotNull()
+    return F.struct(ok.alias("ok"), F.when(ok, F.zip_with(old, delta, lambda x, y: x + y)).otherwise(old).alias("value"))
+
+
+def as_ml(v: Column) -> Column:
+    """An array as a dense vector of Spark's learning library."""
+    from pyspark.ml.functions import array_to_vector
+
+    doubles = v.cast("array<double>")
+    return F.when(v.isNotNull(), array_to_vector(F.coalesce(doubles, F.array().cast("array<double>"))))
+
+
+def from_ml(v: Column) -> Column:
+    from pyspark.ml.functions import vector_to_array
+
+    return F.when(v.isNotNull(), vector_to_array(v))

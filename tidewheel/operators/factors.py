@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clip, dot
+from ..plans.iterate import stale_rounds
 from ..plans.tables import store
 from .learning import gram
 
@@ -44,14 +47,28 @@ def rmse(ratings: DataFrame, users: DataFrame, items: DataFrame, mean: float) ->
     return predict(ratings, users, items, mean).agg(F.count("*").alias("n"), F.sqrt(F.sum(e * e) / F.count("*")).alias("rmse"))
 
 
-def train(ratings: DataFrame, k: int, n: int = 1, alpha: float = 0.005, beta: float = 0.01, shards: int = 4, users: DataFrame | None = None, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float]:
+RATINGS = 200_000  #: ratings that one task descends over, about
+
+
+def _dealt(ratings: DataFrame, shards: int, most: int) -> DataFrame:
+    """``ratings`` with a shard: by user, in more shards where one would hold more than ``most``; such a user's by item as well."""
+    shards = max(shards, math.ceil(ratings.count() / most))
+    heavy, _ = store(ratings.groupBy("user").agg(F.count("*").alias("n")).where(F.col("n") > most).select("user", F.lit(True).alias("heavy")), "heavy")
+    by_user, by_both = F.pmod("user", F.lit(shards)), F.pmod(F.xxhash64("user", "item"), F.lit(shards))
+    marked = ratings.join(heavy, "user", "left")
+    return store(marked.select("user", "item", "rating", F.when(F.col("heavy").isNull(), by_user).otherwise(by_both).alias("shard")), "dealt")[0]
+
+
+def train(ratings: DataFrame, k: int, n: int = 1, alpha: float = 0.005, beta: float = 0.01, shards: int = 4, users: DataFrame | None = None, items: DataFrame | None = None, *, staleness: int = 0, shard_ratings: int = RATINGS) -> tuple[DataFrame, DataFrame, float]:
     """(users, items, mean) after n rounds.
 
     Each round every shard (user modulo ``shards``) descends over its ratings by
     user and item; a user's or item's change is the mean of the changes of the
     shards that hold it.  Factors are joined on, never sent whole to a task.
+    ``staleness``: a round's changes come from the factors so many rounds before.
     """
     mean = ratings.agg(F.avg("rating")).first()[0] or 0.0
+    ratings = _dealt(ratings.select("user", "item", "rating").where("user is not null and item is not null and rating is not null"), shards, shard_ratings)
     users = hashed_factors(ratings.select("user").distinct(), "user", k) if users is None else users
     items = hashed_factors(ratings.select("item").distinct(), "item", k, seed=2) if items is None else items
 
@@ -79,12 +96,19 @@ def train(ratings: DataFrame, k: int, n: int = 1, alpha: float = 0.005, beta: fl
         new = F.zip_with("factors", F.slice("x", 1, k), lambda a, b: a + b)
         return old.join(change, "id", "left").select("id", F.when(F.col("x").isNull(), F.col("factors")).otherwise(new).alias("factors"), (F.col("bias") + F.coalesce(F.element_at("x", k + 1), F.lit(0.0))).alias("bias"))
 
-    for _ in range(n):
-        joined = _with_factors(ratings, users, items, "inner").withColumn("shard", F.pmod("user", F.lit(shards)))
-        changes, _ = store(joined.groupBy("shard").applyInPandas(shard, "side string, id long, moved array<double>"), "changes")
-        users, _ = store(moved(users, changes, "user"), "users")
-        items, _ = store(moved(items, changes, "item"), "items")
-    return users, items, mean
+    def pull(old: tuple[DataFrame, DataFrame]) -> DataFrame:
+        joined = _with_factors(ratings, *old, "inner")
+        return store(joined.groupBy("shard").applyInPandas(shard, "side string, id long, moved array<double>"), "changes")[0]
+
+    def push(now: tuple[DataFrame, DataFrame], changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return store(moved(now[0], changes, "user"), "users")[0], store(moved(now[1], changes, "item"), "items")[0]
+
+    return *stale_rounds((users, items), pull, push, n, staleness), mean
+
+
+def generated_factors(rows: DataFrame) -> DataFrame:
+    """(id, factors) with a constant factor of 1 put first, for models with a bias among the factors."""
+    return rows.select("id", F.concat(F.array(F.lit(1.0)), F.col("factors").cast("array<double>")).alias("factors"))
 
 
 def debias(ratings: DataFrame, item_bias: DataFrame, mean: float) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,13 @@ def put(state: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     return state.join(new, key, "left_anti").unionByName(new)
 
 
-def get(state: DataFrame, value_of: object, key: str = "key") -> DataFrame:
-    return state.where(F.col(key) == F.lit(value_of))
+def get(state: DataFrame, value_of: object, key: str = "key", *, strict: bool = False) -> DataFrame:
+    """The row of one key; ``strict``: a missing key is an error when the row is read."""
+    found = state.where(F.col(key) == F.lit(value_of))
+    if not strict:
+        return found
+    wanted = state.sparkSession.range(1).select(F.lit(value_of).cast(state.schema[key].dataType).alias(key))
+    return get_many(state, wanted, key, strict=True)
 
 
 def get_many(state: DataFrame, wanted: DataFrame, key: str = "key", *, strict: bool = False, order: str | None = None) -> DataFrame:
@@ -73,6 +79,73 @@ def fold(deltas: DataFrame, how: Callable[[Column], Column], key: str = "key", v
     return rows.groupBy(key).agg(how(F.col(value)).alias(value))
 
 
+def fold_with(deltas: DataFrame, f: Callable[[object, object], object], key: str = "key", value: str = "value", state: DataFrame | None = None) -> DataFrame:
+    """Fold values by key with any binary Python function, which has to be associative and commutative.
+
+    Tasks fold what they hold before the shuffle, batch by batch, so that a frequent
+    key sends one value for each batch; the partial values of a key are then folded
+    in one group.  Null values say nothing; a key with one value takes it as it is.
+    """
+    rows = deltas.select(key, value)
+    if state is not None:
+        rows = rows.unionByName(state.select(key, value))
+    rows = rows.where(F.col(value).isNotNull())
+    schema = rows.schema
+
+    def folded(keys: list, values: list) -> dict:
+        out = {}
+        for k, v in zip(keys, values, strict=True):
+            out[k] = f(out[k], v) if k in out else v
+        return out
+
+    def partial(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            out = folded(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), batch.schema.field(0).type), pa.array(list(out.values()), batch.schema.field(1).type)], schema.names)
+
+    def whole(group: pa.Table) -> pa.Table:
+        out = folded(group.column(0).to_pylist(), group.column(1).to_pylist())
+        return pa.table([pa.array(list(out), group.schema.field(0).type), pa.array(list(out.values()), group.schema.field(1).type)], names=schema.names)
+
+    return rows.mapInArrow(partial, schema).groupBy(key).applyInArrow(whole, schema)
+
+
+def concat_lists(deltas: DataFrame, key: str = "key", value: str = "value", state: DataFrame | None = None) -> DataFrame:
+    """Lists of a key put together, sorted, as their order of arrival is no fixed one."""
+    rows = deltas.select(key, value)
+    if state is not None:
+        rows = rows.unionByName(state.select(key, value))
+    return rows.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list(value))).alias(value))
+
+
+def handle_shards(state: DataFrame, f: Callable[[Iterable[dict]], Iterable[dict]], schema: str, predicate: Column | None = None) -> DataFrame:
+    """What ``f`` yields from the rows of each task, or those that meet a predicate; rows come one after another and are never held whole."""
+    rows = state if predicate is None else state.where(predicate)
+    kept = _arrow_schema(rows.sparkSession, schema)
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        def each():
+            for batch in batches:
+                yield from batch.to_pylist()
+
+        held = []
+        for out in f(each()):
+            held.append(out)
+            if len(held) == 10_000:
+                yield pa.RecordBatch.from_pylist(held, kept)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, kept)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _arrow_schema(spark, schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+
 def fold_vectors(deltas: DataFrame, key: str = "key", value: str = "value", state: DataFrame | None = None) -> DataFrame:
     """Element-wise sums of arrays by key."""
     rows = deltas.select(key, value)
@@ -94,7 +167,7 @@ def top(state: DataFrame, k: int, key: str = "key", value: str = "value", predic
 
 
 class Registry(dict):
-    """Named functions of a job: folds, predicates, parsers."""
+    """Named functions: the folds, predicates and parsers that job options name, and the jobs themselves."""
 
     def register(self, name: str) -> Callable:
         def add(f: Callable) -> Callable:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import log_loss, sigmoid
+from ..functions.vectors import dot, log_loss, sigmoid
+
+
+SHARD_ROWS = 50_000  #: rows that one task descends over at most
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a column of arrays that are not null; unequal widths are an error."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
 
 
@@ -21,8 +25,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The nearest centre of each row, the first of equals."""
-    return np.argmin(((x[:, None, :] - centres[None]) ** 2).sum(axis=2), axis=1)
+    """The nearest centre of each row, the first of equals.
+
+    Products give the distances but for rounding; where two centres are within it,
+    differences decide.
+    """
+    about = (centres * centres).sum(axis=1) - 2 * (x @ centres.T)
+    best = about.min(axis=1)
+    slack = 1e-9 * (1 + np.abs(best) + (x * x).sum(axis=1) + (centres * centres).sum(axis=1).max())
+    close = about <= (best + slack)[:, None]
+    out = close.argmax(axis=1)
+    for r in np.flatnonzero(close.sum(axis=1) > 1).tolist():
+        which = np.flatnonzero(close[r])
+        out[r] = which[np.argmin(((x[r] - centres[which]) ** 2).sum(axis=1))]
+    return out
 
 
 def _assigned(points: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -61,10 +77,13 @@ def kmeans(points: DataFrame, k: int, n: int = 1, *, id_col: str = "id", vec: st
     """((id, cluster) of the last round, before its centres moved; the final centres).
 
     Lloyd's rounds from the k rows with the smallest ids; a centre without rows
-    stays where it is.  Centres, k vectors, are all that the driver holds.
+    stays where it is; a row without a vector has no cluster.  Centres, k vectors,
+    are all that the driver holds.
     """
-    rows = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    rows = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
     centres = np.array([r["v"] for r in rows.orderBy("id").limit(k).collect()])
+    if not len(centres):
+        return rows.select("id", F.lit(0).cast("long").alias("cluster")), centres
     assigned = None
     for _ in range(n):
         assigned, new = _assigned(rows, centres), centres.copy()
@@ -75,6 +94,27 @@ def kmeans(points: DataFrame, k: int, n: int = 1, *, id_col: str = "id", vec: st
     return assigned, centres
 
 
+def members(assigned: DataFrame, parts: int = 64) -> DataFrame:
+    """(cluster, part, ids): the rows of each cluster, a large one in several parts dealt by hash; ids in order."""
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    return assigned.groupBy("cluster", part.alias("part")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def radii(points: DataFrame, assigned: DataFrame, centres: np.ndarray, *, id_col: str = "id", vec: str = "features") -> DataFrame:
+    """(cluster, n, radius): the largest distance of a row from its centre."""
+    own = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null").join(assigned, "id")
+    sent = points.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                away = np.sqrt(((_matrix(part.column(1)) - sent.value[part.column(0).to_numpy()]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(away)], ["cluster", "away"])
+
+    return own.select("cluster", "v").mapInArrow(run, "cluster long, away double").groupBy("cluster").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
+
+
 # ---- regressions; weights begin with the intercept
 
 
@@ -83,61 +123,89 @@ def with_bias(features: Column) -> Column:
 
 
 def linear(features: Column, weights) -> Column:
-    """Intercept and weights applied to the first features, summed from the left."""
-    out = F.lit(float(weights[0]))
-    for j, w in enumerate(weights[1:]):
-        out = out + F.get(features, F.lit(j)) * F.lit(float(w))
-    return out
+    """Intercept and weights applied to the first features."""
+    w = F.array(*(F.lit(float(x)) for x in weights[1:]))
+    return F.lit(float(weights[0])) + dot(F.slice(features, 1, len(weights) - 1).cast("array<double>"), w)
+
+
+def _whole(data: DataFrame, vec: str, label: str) -> DataFrame:
+    """(x, y) of the rows that have both."""
+    return data.select(F.col(vec).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y")).where("x is not null and y is not null")
+
+
+def _sums(rows: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, int]:
+    """(sum over all rows (x, y) of what ``f`` makes of a batch of them, rows): one vector from each task."""
+
+    def run(batches):
+        total, n = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                part = f(_matrix(batch.column(0)), batch.column(1).to_numpy())
+                total, n = part if total is None else total + part, n + batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), n))], ["pos", "v", "n"])
+
+    parts = rows.mapInArrow(run, "pos long, v double, n long").groupBy("pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
+    out = np.zeros(len(parts))
+    for r in parts:
+        out[r["pos"]] = r["v"]
+    return out, int(parts[0]["n"]) if parts else 0
 
 
 def logistic_gradient_descent(data: DataFrame, n: int = 1, alpha: float = 0.002, beta: float = 0.1, start=None, *, vec: str = "features", label: str = "label") -> np.ndarray:
     """Full-batch rounds: weights += sum over rows of alpha (y - h) x - 2 alpha beta weights.
 
-    One aggregate for each round; Spark combines it in the tasks.
+    A task sends one vector for each round; rows without features or label say nothing.
     """
-    d = len(start) - 1 if start is not None else data.select(F.size(vec)).first()[0]
+    rows = _whole(data, vec, label)
+    d = len(start) - 1 if start is not None else rows.agg(F.max(F.size("x"))).first()[0] or 0
     theta = np.zeros(d + 1) if start is None else np.array(start, float)
     for _ in range(n):
-        error = F.col(label) - sigmoid(linear(F.col(vec), theta))
-        row = data.agg(F.sum(error).alias("g0"), *(F.sum(error * F.get(vec, F.lit(j))).alias(f"g{j + 1}") for j in range(d)), F.count("*").alias("n")).first()
-        theta = theta + alpha * np.array([row[f"g{j}"] or 0.0 for j in range(d + 1)]) - 2 * alpha * beta * row["n"] * theta
-    return theta
 
+        def gradient(x: np.ndarray, y: np.ndarray, theta: np.ndarray = theta) -> np.ndarray:
+            error = y - 1 / (1 + np.exp(-(theta[0] + x @ theta[1:])))
+            return np.append(error.sum(), error @ x)
 
-def _sequential(x: np.ndarray, y: np.ndarray, theta: np.ndarray, alpha: float, beta: float, hypothesis: Callable) -> np.ndarray:
-    for row, target in zip(x, y, strict=True):
-        theta = theta + alpha * (target - hypothesis(row @ theta)) * row - 2 * alpha * beta * theta
+        total, count = _sums(rows, gradient)
+        theta = theta + alpha * (total if count else 0) - 2 * alpha * beta * count * theta
     return theta
 
 
-def _squashed(a: float) -> float:
-    return 1 / (1 + np.exp(-a))
+def _sequential(x: np.ndarray, y: np.ndarray, theta: np.ndarray, alpha: float, beta: float, logistic: bool) -> np.ndarray:
+    for row, target in zip(x, y, strict=True):
+        a = row @ theta
+        theta = theta + alpha * (target - (1 / (1 + math.exp(-a)) if logistic else a)) * row - 2 * alpha * beta * theta
+    return theta
 
 
-def _shard(start: np.ndarray, alpha: float, beta: float, hypothesis: Callable) -> Callable:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        moved = _sequential(np.stack(pdf["x"]), pdf["y"].to_numpy(), start, alpha, beta, hypothesis) - start
-        return pd.DataFrame({"pos": range(len(moved)), "moved": moved})
+def _shard(start: np.ndarray, alpha: float, beta: float, logistic: bool) -> Callable:
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id").combine_chunks()
+        moved = _sequential(_matrix(rows.column("x").combine_chunks()), rows.column("y").to_numpy(), start, alpha, beta, logistic) - start
+        return pa.table({"pos": pa.array(np.arange(len(moved)), pa.int64()), "moved": pa.array(moved)})
 
     return one
 
 
-def parameter_mixing(data: DataFrame, n: int, alpha: float, beta: float, shards: int, *, logistic: bool, start=None, batches: int = 1, mean: bool = True, id_col: str = "id", vec: str = "features", label: str = "label") -> np.ndarray:
-    """Rounds of sequential descent on each shard (id modulo ``shards``, in the order of ids), whose changes are put together.
+def parameter_mixing(data: DataFrame, n: int, alpha: float, beta: float, shards: int, *, logistic: bool, start=None, batches: int = 1, mean: bool = True, id_col: str = "id", vec: str = "features", label: str = "label", shard_rows: int = SHARD_ROWS) -> np.ndarray:
+    """Rounds of sequential descent on each shard, in the order of ids, whose changes are put together.
 
     ``mean``: the weights move by the mean of the shards' changes, else by their
     sum.  ``batches``: how often in a round the shards meet.  With one shard and
-    batch this is plain stochastic descent.
+    batch this is plain stochastic descent.  Rows are dealt by id modulo ``shards``,
+    then batches.  There are more batches than asked for where a shard would hold
+    more than ``shard_rows`` rows of one: each takes its rows in bounded blocks and
+    meets the others in between.
     """
-    d = data.select(F.size(vec)).first()[0]
-    theta = np.zeros(d + 1) if start is None else np.array(start, float)
+    data = data.where(F.col(vec).isNotNull() & F.col(label).isNotNull())
+    d, count = data.agg(F.max(F.size(vec)), F.count("*")).first()
+    theta = np.zeros((d or 0) + 1) if start is None else np.array(start, float)
+    batches = max(batches, math.ceil(count / (shards * shard_rows)))
     rows = data.select(F.pmod(F.col(id_col), F.lit(shards)).alias("shard"), F.pmod(F.floor(F.col(id_col) / shards), F.lit(batches)).alias("batch"), F.col(id_col).alias("id"), with_bias(F.col(vec)).alias("x"), F.col(label).cast("double").alias("y"))
-    hypothesis = _squashed if logistic else (lambda a: a)
     for _ in range(n):
         for b in range(batches):
             part = rows.where(F.col("batch") == b) if batches > 1 else rows
-            changes = part.groupBy("shard").applyInPandas(_shard(theta, alpha, beta, hypothesis), "pos long, moved double").groupBy("pos").agg(F.sum("moved").alias("moved"), F.count("*").alias("n")).collect()
+            changes = part.select("shard", "id", "x", "y").groupBy("shard").applyInArrow(_shard(theta, alpha, beta, logistic), "pos long, moved double").groupBy("pos").agg(F.sum("moved").alias("moved"), F.count("*").alias("n")).collect()
             theta = theta.copy()
             for r in changes:
                 theta[r["pos"]] += r["moved"] / r["n"] if mean else r["moved"]
@@ -158,7 +226,7 @@ def logistic_downpour(data: DataFrame, n: int = 1, alpha: float = 0.002, beta: f
 
 
 def logistic_sequential(data: DataFrame, n: int = 1, alpha: float = 0.002, beta: float = 0.1, **more) -> np.ndarray:
-    """Descent that pulls and pushes at every row, as one worker does it."""
+    """Descent that pulls and pushes at every row, as one worker does it; block after block where there are many rows."""
     return parameter_mixing(data, n, alpha, beta, 1, logistic=True, **more)
 
 
@@ -177,8 +245,9 @@ def squared_loss(data: DataFrame, theta, *, vec: str = "features", label: str =
 
 
 def gram(data: DataFrame, *, vec: str = "features", label: str | None = None) -> tuple[np.ndarray, np.ndarray | None, int]:
-    """(X'X, X'y, rows): one matrix of the width's square from each task."""
-    d = data.select(F.size(vec)).first()[0]
+    """(X'X, X'y, rows): one matrix of the width's square from each task; rows without a vector say nothing."""
+    data = data.where(F.col(vec).isNotNull())
+    d = data.agg(F.max(F.size(vec))).first()[0] or 0
     y = F.col(label).cast("double") if label else F.lit(0.0)
 
     def run(batches):
@@ -197,7 +266,7 @@ def gram(data: DataFrame, *, vec: str = "features", label: str | None = None) ->
     for r in rows:
         total[r["pos"]] = r["v"]
     total = total.reshape(d + 1, d + 1)
-    return total[:d, :d], total[:d, d] if label else None, rows[0]["n"] if rows else 0
+    return total[:d, :d], total[:d, d] if label else None, int(rows[0]["n"] or 0) if rows else 0
 
 
 def lasso(data: DataFrame, lam: float, n: int, *, vec: str = "features", label: str = "label") -> np.ndarray:
@@ -217,14 +286,17 @@ def lasso(data: DataFrame, lam: float, n: int, *, vec: str = "features", label:
 
 
 def logistic_l1(data: DataFrame, lam: float, n: int, *, vec: str = "features", label: str = "label") -> np.ndarray:
-    """As :func:`lasso` for logistic loss with labels 0 and 1; an aggregate for each step."""
-    d, rows = data.select(F.size(vec)).first()[0], data.count()
-    w = np.zeros(2 * d)
-    y = F.when(F.col(label) == 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    for t in range(n):
+    """As :func:`lasso` for logistic loss with labels 0 and 1; a pass over the data for each step."""
+    rows = _whole(data, vec, label)
+    d, count = rows.agg(F.max(F.size("x")), F.count("*")).first()
+    w = np.zeros(2 * (d or 0))
+    for t in range(n if count else 0):
         j = t % (2 * d)
         sign, at = (1, j) if j < d else (-1, j - d)
-        z = linear(F.col(vec), [0.0, *(w[:d] - w[d:])])
-        slope = data.agg(F.sum(-y / (1 + F.exp(y * z)) * F.get(vec, F.lit(at)))).first()[0] or 0.0
-        w[j] += max(-w[j], -4 * (lam + sign * slope) / rows)
-    return w[:d] - w[d:]
+
+        def slope(x: np.ndarray, y: np.ndarray, v: np.ndarray = w[:d] - w[d:], at: int = at) -> np.ndarray:
+            y = np.where(y == 0, -1.0, 1.0)
+            return np.array([(-y / (1 + np.exp(y * (x @ v))) * x[:, at]).sum()])
+
+        w[j] += max(-w[j], -4 * (lam + sign * _sums(rows, slope)[0][0]) / count)
+    return w[: len(w) // 2] - w[len(w) // 2 :]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +11,6 @@ from .similarity import top_per_key
 EPSILON = 1e-4
 ROUNDS, STEPS = 20, 100
 TOP = 100
-LOCAL = 1_000_000  #: edges of a node that one task takes; beyond it every step is an aggregate
 
 
 def expand(masses: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,26 +28,8 @@ def _flows(edges: DataFrame, left: DataFrame, scores: DataFrame) -> DataFrame:
     return flow.join(total, "i").join(left, "i").select("i", "j", "p", "a", "x", "flow", (F.col("total") - F.col("flow")).alias("rest"), "total")
 
 
-def _newton_local(held: DataFrame, start: DataFrame, steps: int) -> DataFrame:
-    """(j, x) by Newton steps over the edges of each node at once."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, aim = pdf["x"].iloc[0], pdf["aim"].iloc[0]
-        p, a, rest = (pdf[c].to_numpy() for c in ("p", "a", "rest"))
-        for _ in range(steps):
-            at = a * x + rest
-            f, slope = (p * a * x / at).sum() - aim, (p * a * rest / at**2).sum()
-            if abs(f) <= 1e-10 or not slope:
-                break
-            x -= f / slope
-        return pd.DataFrame({"j": pdf["j"].iloc[:1], "x": [x]})
-
-    kind = start.schema["j"].dataType.simpleString()
-    return held.join(start, "j").groupBy("j").applyInPandas(one, f"j {kind}, x double")
-
-
 def _newton(held: DataFrame, start: DataFrame, steps: int) -> tuple[DataFrame, str]:
-    """The same with one aggregate over all edges for each step, and its table's path."""
+    """(j, x) by Newton steps, and their table: each step is an aggregate over the edges of the nodes that still move."""
     spark = held.sparkSession
     now, path = store(start.withColumn("done", F.lit(False)), "newton")
     for _ in range(steps):
@@ -80,20 +60,14 @@ def solve(left: DataFrame, right: DataFrame, edges: DataFrame, *, epsilon: float
     scores, path = store(right.select("j", F.col("p").alias("x")), "scores")
     for _ in range(rounds):
         flows, flows_path = store(_flows(edges, left, scores), "flows")
-        inflow = flows.groupBy("j").agg(F.sum(F.try_divide(F.col("p") * F.col("flow"), F.col("total"))).alias("q"), F.count("*").alias("n"))
-        short = inflow.join(right, "j").where((F.col("q") != 0) & (F.col("q") < F.col("p") * (1 - epsilon))).select("j", "n", (F.col("p") * (1 - epsilon / 2)).alias("aim"))
-        most = short.agg(F.max("n")).first()[0]
-        if most is None:
-            discard(spark, flows_path)
+        inflow = flows.groupBy("j").agg(F.sum(F.try_divide(F.col("p") * F.col("flow"), F.col("total"))).alias("q"))
+        short = inflow.join(right, "j").where((F.col("q") != 0) & (F.col("q") < F.col("p") * (1 - epsilon))).select("j", (F.col("p") * (1 - epsilon / 2)).alias("aim"))
+        held, held_path = store(flows.join(short, "j").select("j", "p", "a", "rest", "aim"), "held")
+        if held.isEmpty():
+            discard(spark, flows_path, held_path)
             break
-        held = flows.join(short, "j").select("j", "p", "a", "rest", "aim")
-        start = scores.join(short.select("j"), "j", "left_semi")
-        if most <= LOCAL:
-            now, used = _newton_local(held, start, steps), []
-        else:
-            held, held_path = store(held, "held")
-            now, now_path = _newton(held, start, steps)
-            used = [held_path, now_path]
+        now, now_path = _newton(held, scores.join(held.select("j"), "j", "left_semi"), steps)
+        used = [held_path, now_path]
         after, after_path = store(scores.join(now.select("j", F.col("x").alias("new")), "j", "left").select("j", F.coalesce("new", "x").alias("x")), "scores")
         discard(spark, path, flows_path, *used)
         scores, path = after, after_path

@@ -9,30 +9,25 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import store
 
-MOST_ITEMS = 100_000  #: items that are sent to the tasks; more are refused
+ITEMS = 20_000  #: items that are sent to the tasks at once; more take several passes
+HELD = 1 << 22  #: numbers that a task sums up before it sends them on
 RATIO = 3
 
 
-def split_errors(users: DataFrame, items: DataFrame, *, block: int = 256) -> DataFrame:
-    """(node, item, likes, hates, error) of every admissible split.
-
-    users (id, node, v), items (id, v).  error: the squared distances of both sides'
-    users to their sides' means.  A split is admissible if neither side is empty and
-    neither is three times the other, in whole numbers.
-    Tasks send sums of sides, not users.
-    """
-    if items.count() > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items")
-    rows = items.orderBy("id").collect()
-    ids, m = [r["id"] for r in rows], np.array([r["v"] for r in rows], float)
-    if not rows:
-        return users.sparkSession.createDataFrame([], "node long, item long, likes long, hates long, error double")
-    sent = users.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), m))
-    d = m.shape[1]
+def _side_sums(users: DataFrame, rows: list, d: int, block: int) -> DataFrame:
+    """(node, item, side, sums): count, squared length and sum of the users on each side of each item, in partial sums."""
+    sent = users.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], float)))
 
     def run(batches):
         ids, m = sent.value
         total = {}
+
+        def emptied():
+            for (n, k, side), part in total.items():
+                size = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, n)), pa.array(ids[k : k + size]), pa.array(np.full(size, side)), pa.array(part.tolist(), pa.list_(pa.float64()))], ["node", "item", "side", "sums"])
+            total.clear()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -47,11 +42,32 @@ def split_errors(users: DataFrame, items: DataFrame, *, block: int = 256) -> Dat
                         part = np.column_stack([mask.sum(axis=1), mask @ square, mask @ mine])
                         key = (n, k, side)
                         total[key] = total[key] + part if key in total else part
-        for (n, k, side), part in total.items():
-            size = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, n)), pa.array(ids[k : k + size]), pa.array(np.full(size, side)), pa.array(part.tolist(), pa.list_(pa.float64()))], ["node", "item", "side", "sums"])
+                if len(total) * block * (d + 2) > HELD:
+                    yield from emptied()
+        yield from emptied()
 
-    parts = users.select(F.col("node").cast("long"), F.col("v").cast("array<double>")).mapInArrow(run, "node long, item long, side long, sums array<double>")
+    return users.select(F.col("node").cast("long"), F.col("v").cast("array<double>")).mapInArrow(run, "node long, item long, side long, sums array<double>")
+
+
+def split_errors(users: DataFrame, items: DataFrame, *, block: int = 256) -> DataFrame:
+    """(node, item, likes, hates, error) of every admissible split.
+
+    users (id, node, v), items (id, v).  error: the squared distances of both sides'
+    users to their sides' means.  A split is admissible if neither side is empty and
+    neither is three times the other, in whole numbers.
+    Tasks send sums of sides, not users; items go to them in groups of bounded size.
+    Rows without a vector say nothing.
+    """
+    users, items = users.where("v is not null"), items.where("v is not null")
+    d, count = items.agg(F.max(F.size("v")), F.count("*")).first()
+    if not count:
+        return users.sparkSession.createDataFrame([], "node long, item long, likes long, hates long, error double")
+    groups, parts = -(-count // ITEMS), None
+    for g in range(groups):
+        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).select("id", "v").orderBy("id").collect()
+        if rows:
+            sums = _side_sums(users, rows, d, block)
+            parts = sums if parts is None else parts.unionByName(sums)
     sides = parts.groupBy("node", "item", "side").agg(*(F.sum(F.get("sums", F.lit(j))).alias(f"s{j}") for j in range(d + 2)))
     spread = F.col("s1") - sum((F.col(f"s{j}") * F.col(f"s{j}") for j in range(2, d + 2)), F.lit(0.0)) / F.col("s0")
     by = sides.where("s0 > 0").withColumn("e", spread)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import identifier_words
+from ..sources.text import index_of
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -16,3 +17,8 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
 def word_count_topk(df: DataFrame, text_col: str, k: int) -> DataFrame:
     """The k most frequent words, equal counts by word."""
     return word_counts(df, text_col).orderBy(F.desc("n"), "word").limit(k)
+
+
+def vocabulary(words: DataFrame, column: str = "word") -> DataFrame:
+    """(word, index): distinct words numbered from 0 in their order."""
+    return index_of(words, column)
