@@ -9,9 +9,10 @@ words before it times its probability after one word less, down to its own.
 The model is never in one place.  Documents form blocks of bounded size that
 hold each distinct gram once.  For each length in turn, blocks ask a table
 partitioned by context, which sums the counts of all blocks and answers each
-block, aligned with what it asked.  A frequent gram costs one entry for each
+block, aligned with what it asked; the block is written anew with the answers, and
+asks for the next length without a shuffle of its own.  A frequent gram costs one entry for each
 block, not one for each occurrence; the grams after a very frequent context are
-spread over all partitions and only that context's sums are joined.  A block
+dealt in shares, as many as its count asks for, and only that context's sums are joined.  A block
 sends a partition one row at most, and never more rows than it has distinct
 grams, which is what a join by gram would shuffle.
 
@@ -36,10 +37,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, odd_multipliers, spread, store, table, utf8, word_hash
+from .common import discard, mix, odd_multipliers, spread, store, table, utf8, word_hash
 
 ORDER = 3  #: words of the longest grams
-BLOCK_TOKENS = 1_000_000  #: tokens that form a block
+BLOCK_TOKENS = 1_500_000  #: tokens that form a block
 PARTITION_TOKENS = 4_000_000  #: a partition of the tables for so many tokens at least
 HOT = 20_000  #: contexts with more than 1/HOT of all tokens are very frequent: fewer than HOT of each length
 LARGEST = 5  #: counts up to this are discounted
@@ -49,7 +50,7 @@ END = word_hash(b"\n")  #: no word holds a line end
 def packed(values: np.ndarray) -> bytes:
     """Compressed integers or doubles, bytes of equal weight together."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
@@ -57,6 +58,16 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, where one of each stands, the number of each entry's value)."""
+    order = np.argsort(key)
+    ordered = key[order]
+    edge = np.append(True, ordered[1:] != ordered[:-1]) if len(key) else np.zeros(0, bool)
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(edge) - 1
+    return ordered[edge], order[edge], number
+
+
 def discounts(n: list[int], largest: int = LARGEST) -> np.ndarray:
     """The share that counts 0 .. largest keep, from n[r], how many distinct grams have count r.
 
@@ -160,21 +171,23 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_tokens: int) -> D
 
 
 class Block:
-    """One block's arrays, its words in the order of their global numbers once these are known."""
+    """One block's arrays."""
 
     def __init__(self, row: dict):
         self.lengths = unpacked(row["lengths"], np.uint32).astype(np.int64)
         self.held = unpacked(row["held"], np.uint8).astype(bool)
-        self.words = unpacked(row["words"], np.uint64)
         self.tokens = unpacked(row["tokens"], np.uint32).astype(np.int64)
         self.training = np.repeat(~self.held, self.lengths)
         self.begin = np.append(0, np.cumsum(self.lengths)[:-1])
+        self.row = row
 
-    def asked_words(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places in ``words`` in the order of asking, where each partition begins)."""
-        part = self.words % np.uint64(parts)
-        order = np.lexsort((self.words, part))
-        return order, np.searchsorted(part[order], np.arange(parts + 1).astype(np.uint64))
+
+def _asked_words(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``words`` in the order of asking, where each partition begins)."""
+    part = words % np.uint64(parts)
+    order = np.argsort(words)
+    order = order[np.argsort(part[order].astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")]
+    return order, np.searchsorted(part[order], np.arange(parts + 1).astype(np.uint64))
 
 
 class Grams:
@@ -214,18 +227,11 @@ class Model:
     def kept(self, k: int, total: np.ndarray) -> np.ndarray:
         return np.where(total <= LARGEST, self.keep[k][np.minimum(total, LARGEST)], 1.0) * total
 
-    def words(self, block: Block, answers: list[dict]) -> Grams:
-        order, begin = block.asked_words(self.parts)
-        number, seen = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        for a in answers:
-            if a["level"] == 1:
-                at = order[begin[a["part"]] : begin[a["part"] + 1]]
-                number[at], seen[at] = unpacked(a["a"], np.int64), unpacked(a["b"], np.uint32)
-        by = np.argsort(number)
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        found = Grams(place[block.tokens], number[by] + 1)
-        found.total, found.word, found.p = seen[by], number[by], self.own(seen[by])
+    def words(self, block: Block) -> Grams:
+        number = np.cumsum(unpacked(block.row["number"], np.int64))
+        found = Grams(block.tokens, number + 1)
+        found.total, found.word = unpacked(block.row["seen"], np.uint32).astype(np.int64), number
+        found.p = self.own(found.total)
         return found
 
     def grams(self, block: Block, one: Grams, below: Grams, k: int) -> Grams:
@@ -233,49 +239,57 @@ class Model:
         before = np.append(0, below.of_token[:-1] + 1)
         before[block.begin] = 0  # the start of a document
         size = len(one.key)
-        distinct, first, at = np.unique(before * size + one.of_token, return_index=True, return_inverse=True)
-        context, word = distinct // size, one.word[distinct % size]
+        pairs, some, at = distinct(before * size + one.of_token)
+        context, word = pairs // size, one.word[pairs % size]
         h = np.append(0, below.key)[context]
         found = Grams(at, self.longer(h, word, k))
-        found.h, found.w, found.lower = h, word, below.of_token[first]
-        found.n = np.bincount(at[block.training], minlength=len(distinct))
-        found.hot = (context == 0) | (np.append(0, below.total)[context] * HOT > self.own.tokens)
-        spread_key = np.where(found.hot, h.view(np.uint64) * _FOLD + word.astype(np.uint64), h.view(np.uint64))
-        part = (mix(spread_key) % np.uint64(self.parts)).astype(np.uint32)
+        found.h, found.w, found.lower = h, word, below.of_token[some]
+        found.n = np.bincount(at[block.training], minlength=len(pairs))
+        seen = np.append(0, below.total)[context]
+        found.hot = (context == 0) | (seen * HOT > self.own.tokens)
+        # a very frequent context has as many shares as it takes for each to be a small part of a partition
+        shares = np.minimum(np.where(context == 0, self.parts, 1 + 4 * seen * self.parts // max(self.own.tokens, 1)), self.parts).astype(np.uint64)
+        share = np.where(found.hot, 1 + mix(word.astype(np.uint64)) % shares, np.uint64(0))
+        part = (mix(h.view(np.uint64) * _FOLD + share) % np.uint64(self.parts)).astype(np.uint16 if self.parts < 1 << 16 else np.uint32)
         found.order = np.argsort(part, kind="stable")
         found.begin = np.searchsorted(part[found.order], np.arange(self.parts + 1))
         return found
 
-    def answered(self, found: Grams, below: Grams, answers: list[dict], k: int) -> None:
-        """Fill in counts, divisors and probabilities."""
+    def answered(self, found: Grams, answers: list[dict], k: int) -> None:
+        """Fill in counts, divisors and backoff weights as the tables give them."""
         n = len(found.h)
-        total, divisor, weight = np.zeros(n, np.int64), np.ones(n), np.ones(n)
+        found.total, found.divisor, found.weight = np.zeros(n, np.int64), np.ones(n), np.ones(n)
         for a in answers:
-            if a["level"] == k:
-                at = found.order[found.begin[a["part"]] : found.begin[a["part"] + 1]]
-                total[at] = unpacked(a["a"], np.uint32)
-                at = at[~found.hot[at]]
-                if len(at):
-                    whose, asking = _contexts(found.h[at], total[at])
-                    lower = np.zeros(whose[-1] + 1)
-                    lower[asking] = unpacked(a["c"], np.float64)
-                    sums = unpacked(a["b"], np.int64).reshape(-1, len(lower))
-                    d, b = backoff(sums[:LARGEST], sums[LARGEST], lower, self.keep[k])
-                    divisor[at], weight[at] = d[whose], b[whose]
+            at = found.order[found.begin[a["part"]] : found.begin[a["part"] + 1]]
+            found.total[at] = unpacked(a["a"], np.uint32)
+            at = at[~found.hot[at]]
+            if len(at):
+                whose, asking = _contexts(found.h[at], found.total[at])
+                lower = np.zeros(whose[-1] + 1)
+                lower[asking] = unpacked(a["c"], np.float64)
+                sums = unpacked(a["b"], np.int64).reshape(-1, len(lower))
+                d, b = backoff(sums[:LARGEST], sums[LARGEST], lower, self.keep[k])
+                found.divisor[at], found.weight[at] = d[whose], b[whose]
         keys, its_divisor, its_weight = self.hot[k].value
         if len(keys):
             i = np.flatnonzero(found.hot)
             at = np.searchsorted(keys, found.h[i])
-            divisor[i], weight[i] = its_divisor[at], its_weight[at]
-        found.total, found.divisor = total, divisor
-        found.p = np.where(total > 0, self.kept(k, total) / divisor, weight * below.p[found.lower])
+            found.divisor[i], found.weight[i] = its_divisor[at], its_weight[at]
 
-    def levels(self, block: Block, answers: list[dict], upto: int) -> list[Grams]:
-        found = [self.words(block, answers)]
+    def evaluate(self, found: Grams, below: Grams, k: int) -> None:
+        found.p = np.where(found.total > 0, self.kept(k, found.total) / found.divisor, found.weight * below.p[found.lower])
+
+    def levels(self, block: Block, upto: int) -> list[Grams]:
+        """The grams of each length up to ``upto``, with what the block was told of them."""
+        out = [self.words(block)]
         for k in range(2, upto + 1):
-            found.append(self.grams(block, found[0], found[-1], k))
-            self.answered(found[-1], found[-2], answers, k)
-        return found
+            found, told = self.grams(block, out[0], out[-1], k), block.row["told"][k - 2]
+            found.total, found.divisor = unpacked(told["total"], np.uint32).astype(np.int64), unpacked(told["divisor"], np.int64).astype(float)
+            found.weight = np.ones(len(found.total))
+            found.weight[found.total == 0] = unpacked(told["weight"], np.float64)
+            self.evaluate(found, out[-1], k)
+            out.append(found)
+        return out
 
 
 _FOLD = odd_multipliers(1, 41)[0]
@@ -295,9 +309,10 @@ def _ask_words(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                counts = np.bincount(block.tokens[block.training], minlength=len(block.words)).astype(np.uint32)
-                order, begin = block.asked_words(parts)
-                rows = [(p, row["block"], packed(np.diff(block.words[at], prepend=np.uint64(0))), packed(counts[at])) for p in range(parts) if len(at := order[begin[p] : begin[p + 1]])]
+                words = unpacked(row["words"], np.uint64)
+                counts = np.bincount(block.tokens[block.training], minlength=len(words)).astype(np.uint32)
+                order, begin = _asked_words(words, parts)
+                rows = [(p, row["block"], packed(np.diff(words[at], prepend=np.uint64(0))), packed(counts[at])) for p in range(parts) if len(at := order[begin[p] : begin[p + 1]])]
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "words", "counts"])
 
@@ -325,52 +340,77 @@ def _sum_words(asked: DataFrame, parts: int) -> DataFrame:
         rows = group.to_pylist()
         part = rows[0]["part"]
         each = [np.cumsum(unpacked(r["words"], np.uint64), dtype=np.uint64) for r in rows]
-        distinct, at = np.unique(np.concatenate(each), return_inverse=True)
-        total = np.bincount(at, np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]), len(distinct)).astype(np.int64)
-        number = np.empty(len(distinct), np.int64)
-        number[np.argsort(-total, kind="stable")] = np.arange(len(distinct)) * parts + part  # frequent words get small numbers
+        words, _, at = distinct(np.concatenate(each))
+        total = np.bincount(at, np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]), len(words)).astype(np.int64)
+        number = np.empty(len(words), np.int64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(words)) * parts + part  # frequent words get small numbers
         out, done = [], 0
         for r, own in zip(rows, each, strict=True):
             i = at[done : done + len(own)]
             done += len(own)
             out.append((r["block"], part, 1, packed(number[i]), packed(total[i].astype(np.uint32)), None, None, None))
-        out.append((None, part, 0, None, None, None, [len(distinct), int(total.sum()), int((total > 0).sum()), *_count_of_counts(total)], None))
+        out.append((None, part, 0, None, None, None, [len(words), int(total.sum()), int((total > 0).sum()), *_count_of_counts(total)], None))
         return _answers(out)
 
     return asked.groupBy("part").applyInArrow(one, _ANSWER)
 
 
+_KNOWN = "block long, ids array<{id}>, lengths binary, held binary, tokens binary, number binary, seen binary, told array<struct<total: binary, divisor: binary, weight: binary>>"
+_TOLD = pa.list_(pa.struct([("total", pa.binary()), ("divisor", pa.binary()), ("weight", pa.binary())]))
+
+
+def _told_words(blocks: DataFrame, answers: DataFrame, model: Model, kind: str) -> DataFrame:
+    """Blocks with the numbers and counts of their words, in the order of these numbers."""
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.drop_columns(["ids"]).to_pylist()[0]
+        words, tokens = unpacked(row["words"], np.uint64), unpacked(row["tokens"], np.uint32)
+        order, begin = _asked_words(words, model.parts)
+        number, seen = np.zeros(len(order), np.int64), np.zeros(len(order), np.uint32)
+        for a in right.to_pylist():
+            at = order[begin[a["part"]] : begin[a["part"] + 1]]
+            number[at], seen[at] = unpacked(a["a"], np.int64), unpacked(a["b"], np.uint32)
+        by = np.argsort(number)
+        place = np.empty(len(by), np.uint32)
+        place[by] = np.arange(len(by))
+        told = [packed(x) for x in (place[tokens], np.diff(number[by], prepend=0), seen[by])]
+        return pa.Table.from_arrays([*(left.column(c) for c in ("block", "ids", "lengths", "held")), *(pa.array([x], pa.binary()) for x in told), pa.array([[]], _TOLD)], ["block", "ids", "lengths", "held", "tokens", "number", "seen", "told"])
+
+    known = answers.where("level > 0").select("block", "part", "a", "b")
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(one, _KNOWN.format(id=kind))
+
+
 # ---- longer grams
 
 
-def _ask(blocks: DataFrame, answers: DataFrame, model: Model, k: int) -> DataFrame:
+def _ask(blocks: DataFrame, model: Model, k: int) -> DataFrame:
     fields = ("h", "w", "c", "d", "n", "hot")
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((f, pa.binary()) for f in fields)])
 
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, answered = [], right.to_pylist()
-        for row in left.to_pylist():
-            block = Block(row)
-            known = model.levels(block, answered, k - 1)
-            below = known[-1]
-            found = model.grams(block, known[0], below, k)
-            del known
-            c = below.total[found.lower].astype(np.uint32)
-            d = None if below.divisor is None else below.divisor[found.lower].astype(np.int64)
-            w = found.w.astype(np.uint32) if model.base < 1 << 32 else found.w
-            for p in range(model.parts):
-                at = found.order[found.begin[p] : found.begin[p + 1]]
-                if len(at):
-                    h = found.h[at]
-                    its = {"h": np.diff(h, prepend=0), "w": w[at], "c": c[at], "n": found.n[at].astype(np.uint32), "hot": found.hot[at].astype(np.uint8)}
-                    if d is not None:  # one for each shorter context
-                        its["d"] = d[at][np.unique(model.shorter(h, k), return_index=True)[1]]
-                    rows.append({"part": p, "block": row["block"]} | {f: packed(x) for f, x in its.items()})
-        return pa.Table.from_pylist(rows, schema)
-
-    known = answers.where("level > 0").select("block", "part", "level", "a", "b", "c")
-    held = blocks.select("block", "lengths", "held", "words", "tokens")
-    return held.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(one, "part int, block long, " + ", ".join(f"{f} binary" for f in fields))
+    def one(row: dict) -> pa.RecordBatch:
+        block, rows = Block(row), []
+        known = model.levels(block, k - 1)
+        below = known[-1]
+        found = model.grams(block, known[0], below, k)
+        c = below.total[found.lower].astype(np.uint32)
+        d = None if below.divisor is None else below.divisor[found.lower].astype(np.int64)
+        w = found.w.astype(np.uint32) if model.base < 1 << 32 else found.w
+        for p in range(model.parts):
+            at = found.order[found.begin[p] : found.begin[p + 1]]
+            if len(at):
+                h = found.h[at]
+                its = {"h": np.diff(h, prepend=0), "w": w[at], "c": c[at], "n": found.n[at].astype(np.uint32), "hot": found.hot[at].astype(np.uint8)}
+                if d is not None:  # one for each shorter context
+                    its["d"] = d[at][distinct(model.shorter(h, k))[1]]
+                rows.append({"part": p, "block": row["block"]} | {f: packed(x) for f, x in its.items()})
+        return pa.RecordBatch.from_pylist(rows, schema)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield one(batch.slice(i, 1).to_pylist()[0])
+
+    return blocks.drop("ids").mapInArrow(run, "part int, block long, " + ", ".join(f"{f} binary" for f in fields))
 
 
 def _sum(asked: DataFrame, model: Model, k: int) -> DataFrame:
@@ -381,20 +421,20 @@ def _sum(asked: DataFrame, model: Model, k: int) -> DataFrame:
         rows = group.to_pylist()
         part = rows[0]["part"]
         each = [np.cumsum(unpacked(r["h"], np.int64)) for r in rows]
-        contexts, h_at = np.unique(np.concatenate(each), return_inverse=True)
-        words, w_at = np.unique(np.concatenate([unpacked(r["w"], kind) for r in rows]), return_inverse=True)
+        contexts, _, h_at = distinct(np.concatenate(each))
+        word = np.concatenate([unpacked(r["w"], kind) for r in rows]).astype(np.int64)
+        size = int(word.max(initial=0)) + 1
         hot_of = np.zeros(len(contexts), bool)
         hot_of[h_at] = np.concatenate([unpacked(r["hot"], np.uint8) for r in rows]).astype(bool)
-        distinct, first, at = np.unique(h_at * len(words) + w_at, return_index=True, return_inverse=True)
-        del w_at
-        total = np.bincount(at, np.concatenate([unpacked(r["n"], np.uint32) for r in rows]), len(distinct)).astype(np.int64)
-        c = np.concatenate([unpacked(r["c"], np.uint32) for r in rows])[first].astype(np.int64)
+        grams, some, at = distinct(h_at * size + word)
+        total = np.bincount(at, np.concatenate([unpacked(r["n"], np.uint32) for r in rows]), len(grams)).astype(np.int64)
+        c = np.concatenate([unpacked(r["c"], np.uint32) for r in rows])[some].astype(np.int64)
         if k == 2:
             lower = model.own(c)
         else:
-            d = np.concatenate([unpacked(r["d"], np.int64)[np.unique(model.shorter(h, k), return_inverse=True)[1]] for r, h in zip(rows, each, strict=True)])[first]
+            d = np.concatenate([unpacked(r["d"], np.int64)[distinct(model.shorter(h, k))[2]] for r, h in zip(rows, each, strict=True)])[some]
             lower = model.kept(k - 1, c) / d
-        context = distinct // len(words)
+        context = grams // size
         sums = np.stack([*(np.bincount(context[total == r], minlength=len(contexts)) for r in range(1, LARGEST + 1)), np.bincount(context, np.where(total > LARGEST, total, 0), len(contexts)).astype(np.int64)])
         lower = np.bincount(context, np.where(total > 0, lower, 0.0), len(contexts))
         out, done = [], 0
@@ -416,6 +456,27 @@ def _sum(asked: DataFrame, model: Model, k: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(one, _ANSWER)
 
 
+def _asked_and_told(left: pa.Table, right: pa.Table, model: Model, k: int) -> tuple[Block, list[Grams]]:
+    block = Block(left.drop_columns(["ids"]).to_pylist()[0])
+    known = model.levels(block, k - 1)
+    found = model.grams(block, known[0], known[-1], k)
+    model.answered(found, right.to_pylist(), k)
+    return block, [*known, found]
+
+
+def _told(blocks: DataFrame, answers: DataFrame, model: Model, k: int, kind: str) -> DataFrame:
+    """Blocks with what the tables say of their grams of length k as well."""
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        block, known = _asked_and_told(left, right, model, k)
+        found = known[-1]
+        told = {"total": packed(found.total.astype(np.uint32)), "divisor": packed(found.divisor.astype(np.int64)), "weight": packed(found.weight[found.total == 0])}
+        return left.drop_columns(["told"]).append_column("told", pa.array([[*block.row["told"], told]], _TOLD))
+
+    known = answers.where("level > 0").select("block", "part", "a", "b", "c")
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(one, _KNOWN.format(id=kind))
+
+
 # ---- scores
 
 
@@ -423,22 +484,18 @@ def _score(blocks: DataFrame, answers: DataFrame, model: Model, order: int, kind
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", *(["token_scores"] if token_scores else [])]
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        answered = right.to_pylist()
-        for k, row in enumerate(left.drop_columns(["ids"]).to_pylist()):
-            block = Block(row)
-            known = model.levels(block, answered, order)
-            words, longest, tokens = known[0], known[-1], model.own.tokens
-            base = np.log10((words.total + 0.1) / (tokens + 0.1 * (model.vocabulary + 1)))
-            log_p = np.log10(longest.p)[longest.of_token]
-            sums = [np.add.reduceat(x, block.begin) for x in ((words.total > 0).astype(np.int64)[words.of_token], base[words.of_token], log_p)]
-            columns = [left.column("ids").combine_chunks().slice(k, 1).flatten(), pa.array(block.held), pa.array(block.lengths), pa.array(sums[0]), pa.array(np.full(len(block.begin), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-            if token_scores:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.append(block.begin, len(log_p)), pa.int32()), pa.array(log_p)))
-            out.append(pa.Table.from_arrays(columns, names))
-        return pa.concat_tables(out)
-
-    known = answers.where("level > 0").select("block", "part", "level", "a", "b", "c")
+        block, known = _asked_and_told(left, right, model, order)
+        words, longest, tokens = known[0], known[-1], model.own.tokens
+        model.evaluate(longest, known[-2], order)
+        base = np.log10((words.total + 0.1) / (tokens + 0.1 * (model.vocabulary + 1)))
+        log_p = np.log10(longest.p)[longest.of_token]
+        sums = [np.add.reduceat(x, block.begin) for x in ((words.total > 0).astype(np.int64)[words.of_token], base[words.of_token], log_p)]
+        columns = [left.column("ids").combine_chunks().flatten(), pa.array(block.held), pa.array(block.lengths), pa.array(sums[0]), pa.array(np.full(len(block.begin), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        if token_scores:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(block.begin, len(log_p)), pa.int32()), pa.array(log_p)))
+        return pa.Table.from_arrays(columns, names)
+
+    known = answers.where("level > 0").select("block", "part", "a", "b", "c")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + (", token_scores array<double>" if token_scores else "")
     return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(one, schema)
 
@@ -467,18 +524,23 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks, _ = store(_blocks(docs, id_col, text_col, block_tokens), "blocks")
+    blocks, path = store(_blocks(docs, id_col, text_col, block_tokens), "blocks")
     size = blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     model = Model(max(spread(spark), int(size) // 2 // PARTITION_TOKENS))  # a token takes about two bytes of a block
-    answers, _ = store(_sum_words(_ask_words(blocks, model.parts), model.parts), "words")
+    answers, answers_path = store(_sum_words(_ask_words(blocks, model.parts), model.parts), "words")
     _, tokens, model.vocabulary, *n, most = _sums(answers, LARGEST + 5)
     model.own, model.base = Unigrams(tokens, n), most * model.parts + 2
+    known, known_path = store(_told_words(blocks, answers, model, kind), "known")
+    discard(spark, path, answers_path)
     for k in range(2, order + 1):
-        found, _ = store(_sum(_ask(blocks, answers, model, k), model, k), "grams")
-        model.keep[k] = discounts(_sums(found, LARGEST + 2)[:-1])
-        model.hot[k] = spark.sparkContext.broadcast(_hot_contexts(found, model.keep[k]))
-        answers = answers.unionByName(found)
-    return _score(blocks, answers, model, order, kind, token_scores).withColumnRenamed("id", id_col)
+        answers, answers_path = store(_sum(_ask(known, model, k), model, k), "grams")
+        model.keep[k] = discounts(_sums(answers, LARGEST + 2)[:-1])
+        model.hot[k] = spark.sparkContext.broadcast(_hot_contexts(answers, model.keep[k]))
+        if k < order:
+            after, after_path = store(_told(known, answers, model, k, kind), "known")
+            discard(spark, known_path, answers_path)
+            known, known_path = after, after_path
+    return _score(known, answers, model, order, kind, token_scores).withColumnRenamed("id", id_col)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
