@@ -8,18 +8,21 @@ First occurrences are minima, combined on the map side, so a passage that a
 third of all documents share sends one row from each task; only runs that occur
 again are joined back, where Spark splits frequent ones.
 
-Sentences end at ``.``, ``!`` or ``?`` before white space and at line ends; one of
+Sentences end at ``.``, ``!`` or ``?`` before white space, at the full-width marks of
+East Asian scripts and at line ends; one of
 more than ``PIECE`` words counts as several pieces of that length at most, cut after
 words whose hashes are the smallest nearby, so that a passage is cut alike whatever
 stands around it.  Words: runs of ASCII letters and digits and of non-ASCII
-characters, ASCII letters lower-cased.  Sentences without words belong to no run.
+characters, ASCII letters lower-cased; a character of an East Asian script, which
+writes no spaces, counts as a word besides.  Sentences without words belong to no run.
 Runs of fewer than ``MIN_WORDS`` words say too little and are lengthened, in either
 direction, until they hold as many.
 
-Edge cases: null and empty texts have no runs; a null ``doc_id`` comes after all
-others and stays null; rows that repeat an id are told apart by their text, equal
-rows lose the same sentences; other columns are kept by :func:`remove_repeats`
-and ignored by the query; an empty table gives an empty result.
+Edge cases: null and empty texts have no runs; ids may be of any type that has an
+order; a null one comes after all others and stays null; rows that repeat an id are
+told apart by their text; equal rows, id and text, count as one occurrence and lose
+the same sentences; very long texts are taken whole; other columns are kept by
+:func:`remove_repeats` and ignored by the query; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, odd_multipliers, mix, store, table, utf8
+from .common import WordHashes, mix, near, odd_multipliers, store, table, utf8
 from .decontamination import tokens
 
 RUN = 3
@@ -40,11 +43,12 @@ PIECE = 16
 MIN_WORDS = 10
 NEAR = 3  #: a long sentence is cut after words with the smallest hash of this many on either side
 
-_CUT = re.compile(rb"(?<=[.!?])[ \t\x0b\f\r]+|(?:[ \t\x0b\f\r]*\n)+[ \t\x0b\f\r]*")
+_CUT = re.compile(rb"(?<=[.!?])[ \t\x0b\f\r]+|(?<=\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)[ \t\x0b\f\r]*|(?:[ \t\x0b\f\r]*\n)+[ \t\x0b\f\r]*")
 _WORD = re.compile(rb"\S+")
 _LOWER = bytes(range(256)).lower()
 _MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 _HASHES = WordHashes()
+_EAST = bytes(range(0xE3, 0xEE))  #: first bytes of kana, East Asian ideographs and syllables in UTF-8
 
 
 def pieces(part: bytes, piece: int = PIECE) -> list[int]:
@@ -88,9 +92,10 @@ def sentences(text: bytes, piece: int = PIECE) -> list[tuple[int, int]]:
 
 def runs(text: bytes, length: int = RUN, piece: int = PIECE, min_words: int = MIN_WORDS, lengthen: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(places, sizes, hashes, sentences) of the runs of a text; sizes in sentences."""
-    each = [tokens(text[a:b]) for a, b in sentences(text, piece)]
+    parts = [text[a:b] for a, b in sentences(text, piece)]
+    each = [tokens(x) for x in parts]
     n = len(each)
-    words = np.cumsum([0, *map(len, each)])
+    words = np.cumsum([0, *(len(w) + len(x) - len(x.translate(None, _EAST)) for w, x in zip(each, parts, strict=True))])
     if n < length or words[-1] < min_words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), n
     hashes = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in each], np.uint64)
@@ -113,7 +118,7 @@ def runs(text: bytes, length: int = RUN, piece: int = PIECE, min_words: int = MI
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = utf8(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = RUN, piece: int = PIECE, min_words: int = MIN_WORDS, lengthen: bool = True) -> DataFrame:
@@ -137,7 +142,8 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
                     ["id", "text_key", "n_sentences", "place", "size", "span"],
                 )
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "id long, text_key long, n_sentences long, place int, size int, span long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, text_key long, n_sentences long, place int, size int, span long")
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = RUN, piece: int = PIECE, min_words: int = MIN_WORDS, lengthen: bool = False) -> DataFrame:
@@ -147,9 +153,9 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     removed: the sentences' places; first_ids: documents that hold the first occurrences.
     """
     found, _ = store(spans(docs, id_col=id_col, text_col=text_col, length=length, piece=piece, min_words=min_words, lengthen=lengthen), "spans")
-    order = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), F.col("text_key"), F.col("place"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_key"), F.col("place"))
     first = found.groupBy("span").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first")
-    later = found.join(first, "span").where(order != F.col("first"))
+    later = found.join(first, "span").where(~order.eqNullSafe(F.col("first")))
     # a group has no more than two runs for each sentence of its document
     grouped = later.groupBy("id", "text_key").agg(F.max("n_sentences").alias("n_sentences"), F.collect_set(F.struct("place", "size")).alias("places"), F.collect_set("first.id").alias("first_ids"))
     covered = F.flatten(F.transform("places", lambda p: F.sequence(p["place"], p["place"] + p["size"] - 1)))
@@ -159,9 +165,10 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = RUN, piece: int = PIECE, min_words: int = MIN_WORDS, lengthen: bool = True) -> DataFrame:
     """``docs``, all columns, with repeated sentences cut out of the texts."""
     gone = repeated(docs, id_col=id_col, text_col=text_col, length=length, piece=piece, min_words=min_words, lengthen=lengthen)
-    gone = gone.select(F.col("id").alias("its_id"), F.col("text_key").alias("its_key"), "removed")
-    own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(utf8(text_col))})
-    own = own.join(gone, F.col("__id").eqNullSafe(F.col("its_id")) & (F.col("__key") == F.col("its_key")), "left")
+    gone, _ = store(gone.select(F.col("id").alias("its_id"), F.col("text_key").alias("its_key"), "removed"), "gone")
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(utf8(text_col)).alias("text_key"))
+    marked = near(own, F.xxhash64("id", "text_key"), gone.select(F.xxhash64("its_id", "its_key").alias("key")))
+    asked = marked.where("near").join(gone, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("text_key") == F.col("its_key")), "left")
 
     @F.pandas_udf("string")
     def cut(texts, removed):
@@ -177,8 +184,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             out.append(text)
         return texts.__class__(out)
 
-    changed = F.when(F.col("removed").isNotNull(), cut(F.col(text_col), F.col("removed"))).otherwise(F.col(text_col))
-    return own.select(*(changed.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    changed = F.when(F.col("removed").isNotNull(), cut(F.col("text"), F.col("removed"))).otherwise(F.col("text"))
+    shortened = asked.select("row", changed.alias("text")).select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+    return marked.where(~F.col("near")).select("row.*").unionByName(shortened)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
