@@ -34,7 +34,9 @@ from .common import WordHashes, mix, odd_multipliers, store, table, utf8
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000  #: labelled rows that the target model is fitted on, at most
-MARGIN = 0.05  #: kept beyond the share of good rows among the labelled ones
+#: Kept beyond the share of good rows among the labelled ones: noise reorders rows near the threshold, and at the bare
+#: share every bad row that it lifts over would push a good one out.
+MARGIN = 0.05
 PRIOR = 1.0  #: added to each bucket, spread by the raw model for the target
 SEED = 7
 BINS = 2048
@@ -120,15 +122,33 @@ def lowest_kept(scored: DataFrame, k: int, bins: int = BINS, few: int = FEW) ->
                 break
             above += counts[at]
         rest = rest.where(place == at)
-    row = rest.orderBy(F.desc("score"), F.asc_nulls_last("id")).limit(k - above).agg(F.min("score").alias("score"), F.max_by("id", F.struct(-F.col("score"), F.col("id").isNull(), "id")).alias("id")).first()
+    k -= above
+    if n > few:  # equal scores: by id, in the same way where ids are numbers
+        known, number = rest.where("id is not null"), rest.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double")
+        if k > (there := known.count()):
+            return low, None
+        place, below = F.col("id").cast("double"), 0
+        for _ in range(20 if number else 0):
+            first, last, there = known.agg(F.min(place), F.max(place), F.count("*")).first()
+            if there <= few or first == last:
+                break
+            at = F.least(F.floor((place - first) / F.lit((last - first) / bins)), F.lit(bins - 1))
+            counts = {r["at"]: r["n"] for r in known.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect()}
+            for chosen in sorted(counts):
+                if below + counts[chosen] >= k:
+                    break
+                below += counts[chosen]
+            known = known.where(at == chosen)
+        rest, k = known, k - below
+    row = rest.orderBy(F.desc("score"), F.asc_nulls_last("id")).limit(k).agg(F.min("score").alias("score"), F.max_by("id", F.struct(-F.col("score"), F.col("id").isNull(), "id")).alias("id")).first()
     return row["score"], row["id"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, margin: float = MARGIN, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
     """One row for each row of ``docs``: its id, ``log_weight``, ``gumbel`` and ``kept``.
 
     share: of the rows that are kept; by default that of good rows among the
-    labelled ones and ``MARGIN`` more.
+    labelled ones and ``margin`` more.
     """
     weights = log_weights(docs, labels, id_col=id_col, text_col=text_col, buckets=buckets, target_rows=target_rows)
     # 52 bits of a hash, as a number between 0 and 1
@@ -136,7 +156,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None,
     scored, _ = store(weights.withColumn("gumbel", -F.log(-F.log(uniform))).withColumn("score", F.col("log_weight") + F.col("gumbel")), "weights")
     if share is None:
         good, all_ = labels.where("quality is not null").agg(F.sum((F.col("quality") == 1).cast("long")), F.count("*")).first()
-        share = min(1.0, good / all_ + MARGIN) if all_ else 1.0
+        share = min(1.0, good / all_ + margin) if all_ else 1.0
     last = lowest_kept(scored.select("id", "score"), round(share * scored.count()))
     if last is None:
         kept = F.lit(False)
