@@ -591,9 +591,9 @@ def lasso_cd(spark, d):
     return _weights(spark, learning.lasso(_labelled(spark, d), 0.5, 200))
 
 
-@query(_coordinates_sql(128, "-4 * (0.5::DOUBLE + sign * list_sum(list_transform(range(1, n + 1), lambda i: -ys[i] / (1 + exp(ys[i] * list_inner_product(xs[i], v))) * xs[i][place]))) / n", _LISTS))
+@query(_coordinates_sql(80, "-4 * (0.5::DOUBLE + sign * list_sum(list_transform(range(1, n + 1), lambda i: -ys[i] / (1 + exp(ys[i] * list_inner_product(xs[i], v))) * xs[i][place]))) / n", _LISTS))
 def logreg_l1_cd(spark, d):
-    return _weights(spark, learning.logistic_l1(_labelled(spark, d), 0.5, 128))
+    return _weights(spark, learning.logistic_l1(_labelled(spark, d), 0.5, 80))
 
 
 @query("SELECT i - 1 AS i, j - 1 AS j, round(sum(x * y), 4) AS v FROM (SELECT e, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM (SELECT embedding::DOUBLE[] AS e FROM embeddings)), LATERAL (SELECT generate_subscripts(e, 1) AS j, unnest(e) AS y) GROUP BY ALL")

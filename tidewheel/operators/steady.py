@@ -10,6 +10,7 @@ from .similarity import top_per_key
 
 EPSILON = 1e-4
 ROUNDS, STEPS = 20, 100
+TOGETHER = 6  #: steps that are planned together
 TOP = 100
 
 
@@ -29,23 +30,23 @@ def _flows(edges: DataFrame, left: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def _newton(held: DataFrame, start: DataFrame, steps: int) -> tuple[DataFrame, str]:
-    """(j, x) by Newton steps, and their table: each step is an aggregate over the edges of the nodes that still move."""
+    """(j, x) by Newton steps, and their table: each step is one aggregate over the edges of the nodes, TOGETHER of them between writes."""
     spark = held.sparkSession
     now, path = store(start.withColumn("done", F.lit(False)), "newton")
-    for _ in range(steps):
-        at = F.col("a") * F.col("x") + F.col("rest")
-        both = held.join(now.where(~F.col("done")), "j").groupBy("j").agg(
-            (F.sum(F.try_divide(F.col("p") * F.col("a") * F.col("x"), at)) - F.max("aim")).alias("f"),
-            F.sum(F.try_divide(F.col("p") * F.col("a") * F.col("rest"), at * at)).alias("slope"),
-        )
-        stop = F.col("f").isNull() | (F.abs("f") <= 1e-10) | (F.col("slope") == 0)
-        moved = F.when(F.col("done") | stop, F.col("x")).otherwise(F.col("x") - F.try_divide("f", "slope"))
-        after, after_path = store(now.join(both, "j", "left").select("j", moved.alias("x"), (F.col("done") | stop).alias("done")), "newton")
-        discard(spark, path)
-        now, path = after, after_path
-        if now.where(~F.col("done")).isEmpty():
-            break
-    return now, path
+    at = F.col("a") * F.col("x") + F.col("rest")
+    inflow = F.sum(F.try_divide(F.col("p") * F.col("a") * F.col("x"), at)) - F.max("aim")
+    slope = F.sum(F.try_divide(F.col("p") * F.col("a") * F.col("rest"), at * at))
+    for k in range(steps):
+        both = held.join(now, "j").groupBy("j").agg(F.first("x").alias("x"), F.first("done").alias("done"), inflow.alias("f"), slope.alias("slope"))
+        stop = F.col("done") | F.coalesce((F.abs("f") <= 1e-10) | (F.col("slope") == 0), F.lit(True))
+        now = both.select("j", F.when(stop, F.col("x")).otherwise(F.col("x") - F.try_divide("f", "slope")).alias("x"), stop.alias("done"))
+        if (k + 1) % TOGETHER == 0 or k + 1 == steps:
+            now, after_path = store(now, "newton")
+            discard(spark, path)
+            path = after_path
+            if now.where(~F.col("done")).isEmpty():
+                break
+    return now.select("j", "x"), path
 
 
 def solve(left: DataFrame, right: DataFrame, edges: DataFrame, *, epsilon: float = EPSILON, rounds: int = ROUNDS, steps: int = STEPS) -> DataFrame:
