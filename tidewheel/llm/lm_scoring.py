@@ -10,11 +10,11 @@ The model is never in one place.  Documents form blocks of bounded size that
 hold each distinct gram once.  For each length in turn, blocks ask a table
 partitioned by context, which sums the counts of all blocks and answers each
 block, aligned with what it asked; the block is written anew with the answers, and
-asks for the next length without a shuffle of its own.  A frequent gram costs one entry for each
-block, not one for each occurrence; the grams after a very frequent context are
-dealt in shares, as many as its count asks for, and only that context's sums are joined.  A block
-sends a partition one row at most, and never more rows than it has distinct
-grams, which is what a join by gram would shuffle.
+asks for the next length without a shuffle of its own.  A frequent gram costs one
+entry for each block, not one for each occurrence; the grams after a very frequent
+context are dealt in shares, as many as its count asks for, and only that context's
+sums are joined.  A block sends a partition one row at most, and never more rows
+than it has distinct grams, which is what a join by gram would shuffle.
 
 Tokens: ASCII letters lower-cased, words cut at ASCII white space, and one end
 for each document; before the first token stands a start, which is never predicted.
@@ -230,7 +230,7 @@ class Model:
     def words(self, block: Block) -> Grams:
         number = np.cumsum(unpacked(block.row["number"], np.int64))
         found = Grams(block.tokens, number + 1)
-        found.total, found.word = unpacked(block.row["seen"], np.uint32).astype(np.int64), number
+        found.total, found.word = unpacked(block.row["seen"], np.int64), number
         found.p = self.own(found.total)
         return found
 
@@ -261,7 +261,7 @@ class Model:
         found.total, found.divisor, found.weight = np.zeros(n, np.int64), np.ones(n), np.ones(n)
         for a in answers:
             at = found.order[found.begin[a["part"]] : found.begin[a["part"] + 1]]
-            found.total[at] = unpacked(a["a"], np.uint32)
+            found.total[at] = unpacked(a["a"], np.int64)
             at = at[~found.hot[at]]
             if len(at):
                 whose, asking = _contexts(found.h[at], found.total[at])
@@ -284,7 +284,7 @@ class Model:
         out = [self.words(block)]
         for k in range(2, upto + 1):
             found, told = self.grams(block, out[0], out[-1], k), block.row["told"][k - 2]
-            found.total, found.divisor = unpacked(told["total"], np.uint32).astype(np.int64), unpacked(told["divisor"], np.int64).astype(float)
+            found.total, found.divisor = unpacked(told["total"], np.int64), unpacked(told["divisor"], np.int64).astype(float)
             found.weight = np.ones(len(found.total))
             found.weight[found.total == 0] = unpacked(told["weight"], np.float64)
             self.evaluate(found, out[-1], k)
@@ -348,7 +348,7 @@ def _sum_words(asked: DataFrame, parts: int) -> DataFrame:
         for r, own in zip(rows, each, strict=True):
             i = at[done : done + len(own)]
             done += len(own)
-            out.append((r["block"], part, 1, packed(number[i]), packed(total[i].astype(np.uint32)), None, None, None))
+            out.append((r["block"], part, 1, packed(number[i]), packed(total[i]), None, None, None))
         out.append((None, part, 0, None, None, None, [len(words), int(total.sum()), int((total > 0).sum()), *_count_of_counts(total)], None))
         return _answers(out)
 
@@ -366,10 +366,10 @@ def _told_words(blocks: DataFrame, answers: DataFrame, model: Model, kind: str)
         row = left.drop_columns(["ids"]).to_pylist()[0]
         words, tokens = unpacked(row["words"], np.uint64), unpacked(row["tokens"], np.uint32)
         order, begin = _asked_words(words, model.parts)
-        number, seen = np.zeros(len(order), np.int64), np.zeros(len(order), np.uint32)
+        number, seen = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         for a in right.to_pylist():
             at = order[begin[a["part"]] : begin[a["part"] + 1]]
-            number[at], seen[at] = unpacked(a["a"], np.int64), unpacked(a["b"], np.uint32)
+            number[at], seen[at] = unpacked(a["a"], np.int64), unpacked(a["b"], np.int64)
         by = np.argsort(number)
         place = np.empty(len(by), np.uint32)
         place[by] = np.arange(len(by))
@@ -392,7 +392,7 @@ def _ask(blocks: DataFrame, model: Model, k: int) -> DataFrame:
         known = model.levels(block, k - 1)
         below = known[-1]
         found = model.grams(block, known[0], below, k)
-        c = below.total[found.lower].astype(np.uint32)
+        c = below.total[found.lower]
         d = None if below.divisor is None else below.divisor[found.lower].astype(np.int64)
         w = found.w.astype(np.uint32) if model.base < 1 << 32 else found.w
         for p in range(model.parts):
@@ -428,7 +428,7 @@ def _sum(asked: DataFrame, model: Model, k: int) -> DataFrame:
         hot_of[h_at] = np.concatenate([unpacked(r["hot"], np.uint8) for r in rows]).astype(bool)
         grams, some, at = distinct(h_at * size + word)
         total = np.bincount(at, np.concatenate([unpacked(r["n"], np.uint32) for r in rows]), len(grams)).astype(np.int64)
-        c = np.concatenate([unpacked(r["c"], np.uint32) for r in rows])[some].astype(np.int64)
+        c = np.concatenate([unpacked(r["c"], np.int64) for r in rows])[some]
         if k == 2:
             lower = model.own(c)
         else:
@@ -448,7 +448,7 @@ def _sum(asked: DataFrame, model: Model, k: int) -> DataFrame:
                 number, asking = _contexts(asked_for, counts[cold])
                 asked_for = asked_for[np.append(True, number[1:] != number[:-1])]
             answer = (packed(sums[:, asked_for].ravel()), packed(lower[asked_for][asking])) if asking is not None else (None, None)
-            out.append((r["block"], part, k, packed(counts.astype(np.uint32)), *answer, None, None))
+            out.append((r["block"], part, k, packed(counts), *answer, None, None))
         hot = [{"h": int(contexts[i]), "s": [*sums[:, i].tolist(), float(lower[i])]} for i in np.flatnonzero(hot_of).tolist()]
         out.append((None, part, 0, None, None, None, _count_of_counts(total), hot))
         return _answers(out)
@@ -470,7 +470,7 @@ def _told(blocks: DataFrame, answers: DataFrame, model: Model, k: int, kind: str
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         block, known = _asked_and_told(left, right, model, k)
         found = known[-1]
-        told = {"total": packed(found.total.astype(np.uint32)), "divisor": packed(found.divisor.astype(np.int64)), "weight": packed(found.weight[found.total == 0])}
+        told = {"total": packed(found.total), "divisor": packed(found.divisor.astype(np.int64)), "weight": packed(found.weight[found.total == 0])}
         return left.drop_columns(["told"]).append_column("told", pa.array([[*block.row["told"], told]], _TOLD))
 
     known = answers.where("level > 0").select("block", "part", "a", "b", "c")
