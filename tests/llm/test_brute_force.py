@@ -288,3 +288,26 @@ def test_leaks_are_taken_out_by_row(spark, small):
     clean = " ".join(prose(rng, 50))
     df = spark.createDataFrame([(5, clean), (5, f"{clean} {item}"), (None, item), (None, clean)], "doc_id long, text string")
     assert texts(stage("benchmark decontamination")(spark, df, small)) == [(5, clean), (None, clean)]
+
+
+# ---- token counts
+
+
+def test_token_counts_of_a_table_and_of_long_words(spark, small, documents):
+    sentencepiece, public_tokenizers = pytest.importorskip("sentencepiece"), pytest.importorskip("public_tokenizers")
+    from tidewheel.llm import token_counts
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    rows = token_counts.op1(spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = len(library.encode(texts[r["doc_id"]]))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 4096)
+    rng = random.Random(3)
+    long = ["".join(rng.choice(alphabet) for _ in range(n)) for alphabet, n in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("acgt", 20_000), ("ABCDEFabcdef0123456789+/=", 100_000), ("ae", 3000), ("aeinorst", 5000))]
+    long += ["".join(rng.choice("aeinorst") for _ in range(rng.randrange(1, 200))) for _ in range(300)]
+    with open(path, "rb") as f:
+        count = token_counts.TextCounter(token_counts.PieceMerger(f.read()))
+    assert count([t.encode() for t in long]) == [len(x) for x in library.encode(long, num_threads=1)]
